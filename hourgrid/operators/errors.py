@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hourgrid.fixed import GROUP_ROWS
 from hourgrid.functions import scores as S
 from hourgrid.operators.joins import peak_row
 from hourgrid.operators.quantiles import exact_quantiles
@@ -48,9 +49,11 @@ def error_by_hour(errors: DataFrame, hour: str = "hour_ending") -> DataFrame:
     return errors.groupBy(hour).agg(*_measures("mae", "mape"))
 
 
-def load_threshold(df: DataFrame, load: str, fraction: float = 0.95) -> float | None:
+def load_threshold(
+    df: DataFrame, load: str, fraction: float = 0.95, group_rows: int = GROUP_ROWS
+) -> float | None:
     """The exact quantile of the load, linear between neighbours."""
-    return exact_quantiles(df, load, [fraction])[0]
+    return exact_quantiles(df, load, [fraction], group_rows)[0]
 
 
 def top_load_rows(df: DataFrame, load: str, fraction: float = 0.95) -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from standins import (  # noqa: F401
     section_a,
     section_b,
+    section_c,
+    section_d,
+    section_efg,
+    section_h,
+    section_i,
 )
 
 FLAGSHIP = "k06_gold_monthly_tou"
