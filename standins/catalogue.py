@@ -10,6 +10,8 @@ from standins import (  # noqa: F401
     section_efg,
     section_h,
     section_i,
+    section_j,
+    section_k,
 )
 
 FLAGSHIP = "k06_gold_monthly_tou"
