@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hourgrid.fixed import (
+    DAY_NAMES,
     MATCHED,
     MISSING_WEATHER,
     NOT_JOINED,
@@ -42,7 +43,8 @@ def weekend_flag(day: Column) -> Column:
 
 
 def day_name(day: Column) -> Column:
-    return F.date_format(day, "EEEE")
+    """English name; a lookup, since a date formatter is slow and follows the locale."""
+    return F.get(F.array(*[F.lit(name) for name in DAY_NAMES]), F.weekday(day))
 
 
 def tou_period(hour_ending: Column, is_weekend: Column) -> Column:

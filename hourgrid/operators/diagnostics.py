@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from hourgrid.fixed import SERIES_SPAN
 from hourgrid.functions.scores import mean_of
 from hourgrid.operators.order import add_lags, with_halo
+from hourgrid.sources.scratch import store
 
 # Fixed values of the published tests.
 NORMAL_975 = 1.959963984540054
@@ -31,6 +32,9 @@ ADF_HOPELESS = 2.74
 ADF_LEFT = [2.1659, 1.4412, 0.038269]
 ADF_RIGHT = [1.7339, 0.93202, -0.12745, -0.010368]
 
+# Lag products taken before the bandwidth is known; most bandwidths lie below.
+KPSS_FIRST_PASS = 200
+
 
 def lag_correlations(df: DataFrame, value: str, lags: Sequence[int] = (1, 24, 48, 168)) -> DataFrame:
     """Pearson correlation of the series with itself ``lag`` rows earlier, over complete pairs."""
@@ -48,30 +52,35 @@ class SeriesSums:
     """What one pass over the spans yields."""
 
     rows: int
-    mean: float
     products: np.ndarray
     squared_path: float
 
 
-def _length_and_mean(df: DataFrame, value: str) -> tuple[int, float]:
-    rows, mean = df.agg(F.count(value), mean_of(F.col(value))).first()
-    return int(rows), mean
+@dataclass
+class Series:
+    """Position and value, stored, because every diagnostic reads them more than once."""
+
+    rows: DataFrame
+    length: int
+    mean: float
 
+    @staticmethod
+    def of(df: DataFrame, value: str, position: str) -> Series:
+        pairs = store(df.select(F.col(position).alias("ix"), F.col(value).alias("x")), "series")
+        length, mean = pairs.agg(F.count("x"), mean_of(F.col("x"))).first()
+        return Series(pairs, int(length), mean)
 
-def _spans(df: DataFrame, value: str, reach: int, span: int, position: str) -> DataFrame:
-    pairs = df.select(F.col(position).alias("ix"), F.col(value).cast("double").alias("x"))
-    return with_halo(pairs, reach, span, "ix")
+    def spans(self, reach: int, span: int) -> DataFrame:
+        return with_halo(self.rows.withColumn("x", F.col("x").cast("double")), reach, span, "ix")
 
 
-def series_sums(
-    df: DataFrame, value: str, max_lag: int, position: str = "row_ix", span: int = SERIES_SPAN
-) -> SeriesSums:
+def series_sums(series: Series, max_lag: int, span: int = SERIES_SPAN) -> SeriesSums:
     """Lag products of the centred series, and the sum of squares of its running sum.
 
     With ``o`` the total before a span, the running sums inside are ``o + c``, so a span only needs
     its row count, total, sum of ``c`` and sum of ``c`` squared; ``o`` comes from adding up totals.
     """
-    rows, mean = _length_and_mean(df, value)
+    mean = series.mean
     span = max(span, 4 * max_lag)
 
     def sums_of_span(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -97,14 +106,16 @@ def series_sums(
         )
 
     schema = "span long, n long, total double, path double, path_sq double, products array<double>"
-    spans = _spans(df, value, max_lag, span, position).groupBy("_span")
+    spans = series.spans(max_lag, span).groupBy("_span")
     parts = spans.applyInPandas(sums_of_span, schema).where("n > 0")
     # The running sum goes over one row per span; ``span`` rows of the series make one.
     before = F.coalesce(F.sum("total").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     path = F.col("n") * before * before + 2 * before * F.col("path") + F.col("path_sq")
-    lags = [F.sum(F.col("products")[k]) for k in range(max_lag + 1)]
-    added = parts.withColumn("squared", path).agg(F.sum("squared"), F.array(*lags)).first()
-    return SeriesSums(rows, mean, np.array(added[1]), added[0])
+    all_sums = parts.withColumn("path_squared", path).select(F.array_append("products", F.col("path_squared")).alias("sums"))
+    sums = all_sums.select(F.posexplode("sums").alias("place", "v"))
+    added = sums.groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").collect()
+    values = np.array([row["v"] for row in added])
+    return SeriesSums(series.length, values[:-1], float(values[-1]))
 
 
 def acf(df: DataFrame, value: str, max_lag: int = 200, position: str = "row_ix") -> DataFrame:
@@ -112,7 +123,7 @@ def acf(df: DataFrame, value: str, max_lag: int = 200, position: str = "row_ix")
 
     Products use the mean of the whole series and are divided by its whole sum of squares.
     """
-    sums = series_sums(df, value, max_lag, position)
+    sums = series_sums(Series.of(df, value, position), max_lag)
     table = [(k, float(r)) for k, r in enumerate(sums.products / sums.products[0])]
     by_lag = df.sparkSession.createDataFrame(table, "lag int, r double")
     earlier = W.orderBy("lag").rowsBetween(W.unboundedPreceding, -1)
@@ -135,7 +146,7 @@ def partial_autocorrelations(r: Sequence[float]) -> list[float]:
 
 def pacf(df: DataFrame, value: str, max_lag: int = 60, position: str = "row_ix") -> DataFrame:
     """Partial autocorrelation by lag (Yule-Walker without adjustment)."""
-    products = series_sums(df, value, max_lag, position).products
+    products = series_sums(Series.of(df, value, position), max_lag).products
     found = partial_autocorrelations(products / products[0])
     rows = [(k, round(v, 8)) for k, v in enumerate(found)]
     return df.sparkSession.createDataFrame(rows, "lag int, partial_autocorrelation double")
@@ -153,10 +164,13 @@ def kpss_lags(rows: int, products: np.ndarray) -> int:
 
 def kpss_test(df: DataFrame, value: str, lags: int | None = None, position: str = "row_ix") -> DataFrame:
     """Stationarity around a level: statistic, p-value (clipped to the table), bandwidth."""
-    rows, _ = _length_and_mean(df, value)
+    series = Series.of(df, value, position)
+    rows = series.length
+    sums = series_sums(series, lags if lags is not None else max(KPSS_FIRST_PASS, int(rows ** (2 / 9))))
     if lags is None:
-        lags = kpss_lags(rows, series_sums(df, value, int(rows ** (2 / 9)), position).products)
-    sums = series_sums(df, value, lags, position)
+        lags = kpss_lags(rows, sums.products)
+        if lags >= len(sums.products):
+            sums = series_sums(series, lags)
     weights = 1 - np.arange(1, lags + 1) / (lags + 1)
     variance = (sums.products[0] + 2 * float(weights @ sums.products[1 : lags + 1])) / rows
     statistic = sums.squared_path / rows**2 / variance
@@ -176,14 +190,13 @@ def adf_p_value(statistic: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def _difference_gram(
-    df: DataFrame, value: str, mean: float, lags: int, position: str, span: int = SERIES_SPAN
-) -> tuple[int, np.ndarray]:
+def _difference_gram(series: Series, lags: int, span: int = SERIES_SPAN) -> tuple[int, np.ndarray]:
     """Rows, and the products of (1, level before, ``lags`` earlier differences, difference).
 
     The rows are those with all ``lags`` differences; the level is centred, which leaves its
     coefficient as it is and keeps the products well scaled.
     """
+    mean = series.mean
     reach = lags + 1
     span = max(span, 4 * reach)
     width = lags + 3
@@ -204,8 +217,9 @@ def _difference_gram(
         design = np.column_stack(columns)
         return pd.DataFrame({"n": [count], "gram": [(design.T @ design).ravel().tolist()]})
 
-    grams = _spans(df, value, reach, span, position).groupBy("_span").applyInPandas(gram_of_span, "n long, gram array<double>")
-    cells = grams.select("n", F.posexplode("gram").alias("cell", "v")).groupBy("cell").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    grams = series.spans(reach, span).groupBy("_span").applyInPandas(gram_of_span, "n long, gram array<double>")
+    cells = grams.select("n", F.posexplode("gram").alias("cell", "v")).groupBy("cell")
+    cells = cells.agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     collected = cells.orderBy("cell").collect()
     return int(collected[0]["n"]), np.array([row["v"] for row in collected]).reshape(width, width)
 
@@ -228,17 +242,17 @@ def adf_test(df: DataFrame, value: str, max_lag: int | None = None, position: st
     One matrix of products serves all lag orders; a second pass refits the chosen one on all the
     rows it can use.
     """
-    rows, mean = _length_and_mean(df, value)
+    series = Series.of(df, value, position)
     if max_lag is None:
-        max_lag = min(math.ceil(12 * (rows / 100) ** 0.25), rows // 2 - 2)
-    used, gram = _difference_gram(df, value, mean, max_lag, position)
+        max_lag = min(math.ceil(12 * (series.length / 100) ** 0.25), series.length // 2 - 2)
+    used, gram = _difference_gram(series, max_lag)
 
     def criterion(lags: int) -> float:
         left = _solve(gram, lags + 2)[1]
         return used * (math.log(2 * math.pi * left / used) + 1) + 2 * (lags + 2)
 
     best = min(range(max_lag + 1), key=criterion)
-    used, gram = _difference_gram(df, value, mean, best, position)
+    used, gram = _difference_gram(series, best)
     weights, left, inverse = _solve(gram, best + 2)
     statistic = weights[1] / math.sqrt(left / (used - best - 2) * inverse[1, 1])
     result = [(round(float(statistic), 6), round(adf_p_value(statistic), 6), best, used)]

@@ -53,7 +53,7 @@ def load_threshold(
     df: DataFrame, load: str, fraction: float = 0.95, group_rows: int = GROUP_ROWS
 ) -> float | None:
     """The exact quantile of the load, linear between neighbours."""
-    return exact_quantiles(df, load, [fraction], group_rows)[0]
+    return exact_quantiles(df, [load], [fraction], group_rows)[load][0]
 
 
 def top_load_rows(df: DataFrame, load: str, fraction: float = 0.95) -> DataFrame:

@@ -64,14 +64,16 @@ def number_repeated_hours(
     key: Sequence[str] = HOUR_KEY,
     order: Sequence[str] = FILE_AND_LOAD,
     group_rows: int = GROUP_ROWS,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """``hour_instance`` and ``records_at_hour_label`` of rows that share an hour label.
 
     The territory loads behind the system load make the order total up to exact copies. One
-    exchange serves both columns while every label fits into a task.
+    exchange serves both columns while every label fits into a task, which a count per label checks
+    first. ``labels`` may name a cheaper source for that count with at least the labels of ``df``.
     """
-    sizes = group_sizes(df, key, "records_at_hour_label")
-    largest = sizes.agg(F.max("records_at_hour_label")).first()[0]
+    counts = (df if labels is None else labels).groupBy(*key).count()
+    largest = counts.agg(F.max("count")).first()[0]
     if largest is None or largest <= group_rows:
         label = W.partitionBy(*key)
         return df.withColumns(

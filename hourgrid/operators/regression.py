@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.fixed import FOUR_CITIES, TERRITORY_CITIES
-from hourgrid.operators.clean import any_missing
 
 # Calendar classes: number of codes, and the code of a row counted from 0.
 CLASSES = {
@@ -56,12 +55,16 @@ TERRITORY_SPECS = {
 }
 
 
-def _place(name: str, levels: Sequence[int]) -> Column:
-    """Index of the row's code among ``levels``; NULL for a code that training did not have."""
+def _lookup(name: str, values: dict[int, float]) -> Column:
+    """The value of the row's code; NULL for a code that has none."""
     size, code = CLASSES[name]
-    places = {level: place for place, level in enumerate(levels)}
-    table = F.array(*[F.lit(places.get(level)).cast("double") for level in range(size)])
-    return F.get(table, code())
+    cells = [f"{values[level]!r}D" if level in values else "CAST(NULL AS DOUBLE)" for level in range(size)]
+    return F.get(F.expr(f"array({', '.join(cells)})"), code())
+
+
+def _place(name: str, levels: Sequence[int]) -> Column:
+    """Index of the row's code among ``levels``."""
+    return _lookup(name, {level: float(place) for place, level in enumerate(levels)})
 
 
 def _nominal(column: Column, name: str, size: int) -> Column:
@@ -75,34 +78,41 @@ class FittedOls:
     levels: dict[str, list[int]]
     model: LinearRegressionModel
 
+    def effects(self) -> tuple[float, dict[str, list[float]], dict[str, float]]:
+        """Intercept, one effect per known level of each class, one slope per numeric column."""
+        weights = self.model.coefficients.toArray().tolist()
+        by_class = {}
+        for name, known in self.levels.items():
+            # The last level is the reference level, so it has no weight of its own.
+            by_class[name] = [*weights[: len(known) - 1], 0.0]
+            weights = weights[len(known) - 1 :]
+        return self.model.intercept, by_class, dict(zip(self.spec.numeric, weights))
+
     def forecast(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` with its forecast; NULL where a predictor is missing or a class was never trained.
 
-        The forecast stays a projection: no row is joined back.
+        The forecast is one column expression, looked up and summed: no vector, no join.
         """
-        places = {f"_at_{c}": _place(c, levels) for c, levels in self.levels.items()}
-        placed = df.withColumns(places)
-        unknown = any_missing([*places, *self.spec.numeric])
-        design = _design(placed.withColumn("_unknown", unknown), self.spec, self.levels)
-        predicted = self.model.setPredictionCol("_predicted").transform(design)
-        return predicted.select(
-            *df.columns, F.when(~F.col("_unknown"), F.col("_predicted")).cast("double").alias(name)
-        )
-
-
-def _design(placed: DataFrame, spec: OlsSpec, levels: dict[str, list[int]]) -> DataFrame:
-    """Add the sparse vector ``_design``; gaps are filled with 0 here and blanked by the caller."""
-    numeric = {f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in spec.numeric}
-    classes = [
-        _nominal(F.coalesce(F.col(f"_at_{c}"), F.lit(0.0)), f"_class_{c}", len(known))
-        for c, known in levels.items()
-    ]
-    ready = placed.withColumns(numeric).select("*", *classes)
+        intercept, by_class, slopes = self.effects()
+        total = F.lit(intercept)
+        for class_name, effects in by_class.items():
+            total = total + _lookup(class_name, dict(zip(self.levels[class_name], effects)))
+        for column, slope in slopes.items():
+            total = total + F.col(column).cast("double") * slope
+        return df.withColumn(name, total)
+
+
+def _design(complete: DataFrame, spec: OlsSpec, levels: dict[str, list[int]]) -> DataFrame:
+    """Add the sparse vector ``_design``: one column per level but the last, then the numbers."""
+    classes = [_nominal(_place(c, known), f"_class_{c}", len(known)) for c, known in levels.items()]
+    numeric = [F.col(c).cast("double").alias(f"_x_{c}") for c in spec.numeric]
+    ready = complete.select(F.col(spec.actual).cast("double").alias("_actual"), *classes, *numeric)
     inputs = [f"_class_{c}" for c in levels]
     outputs = [f"_hot_{c}" for c in levels]
-    # The last level of each class is the reference level.
     encoded = OneHotEncoder(inputCols=inputs, outputCols=outputs, dropLast=True).fit(ready).transform(ready)
-    return VectorAssembler(inputCols=[*outputs, *numeric], outputCol="_design").transform(encoded)
+    return VectorAssembler(
+        inputCols=[*outputs, *[f"_x_{c}" for c in spec.numeric]], outputCol="_design"
+    ).transform(encoded)
 
 
 def fit_ols(train: DataFrame, spec: OlsSpec) -> FittedOls:
@@ -114,8 +124,7 @@ def fit_ols(train: DataFrame, spec: OlsSpec) -> FittedOls:
     complete = train.dropna(subset=[spec.actual, *spec.numeric])
     found = complete.agg(*[F.array_sort(F.collect_set(CLASSES[c][1]())).alias(c) for c in spec.classes]).first()
     levels = {c: list(found[c]) for c in spec.classes}
-    placed = complete.withColumns({f"_at_{c}": _place(c, known) for c, known in levels.items()})
-    design = _design(placed, spec, levels).select("_design", F.col(spec.actual).cast("double").alias("_actual"))
+    design = _design(complete, spec, levels).select("_design", "_actual")
     solver = LinearRegression(featuresCol="_design", labelCol="_actual", solver="normal", regParam=0.0)
     return FittedOls(spec, levels, solver.fit(design))
 

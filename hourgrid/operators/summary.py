@@ -150,7 +150,8 @@ def null_profile(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str] = LOADS) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum, one row per column."""
     spark = df.sparkSession
-    quartiles = [(name, *exact_quantiles(df, name, [0.25, 0.5, 0.75])) for name in columns]
+    found = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    quartiles = [(name, *found[name]) for name in columns]
     schema = "column_name string, q25 double, q50 double, q75 double"
     parts = [
         F.struct(

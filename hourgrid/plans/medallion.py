@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.fixed import HISTORICAL, TEMPERATURE_COLUMNS, VALIDATION
+from hourgrid.fixed import HISTORICAL, HOUR_KEY, TEMPERATURE_COLUMNS, VALIDATION
 from hourgrid.operators import clean, features, joins, order, summary
 
 SILVER_LOADS = [
@@ -54,14 +54,20 @@ GOLD_FEATURES = [
 ]
 
 
+def _typed(historical: DataFrame, validation: DataFrame) -> DataFrame:
+    stacked = clean.stack_stages({HISTORICAL: historical, VALIDATION: validation})
+    return clean.type_loads(clean.drop_footer_rows(stacked))
+
+
 def typed_loads(historical: DataFrame, validation: DataFrame) -> DataFrame:
     """Both stages, footers and incomplete rows dropped, typed."""
-    stacked = clean.stack_stages({HISTORICAL: historical, VALIDATION: validation})
-    return clean.complete_loads(clean.type_loads(clean.drop_footer_rows(stacked)))
+    return clean.complete_loads(_typed(historical, validation))
 
 
 def silver_loads(historical: DataFrame, validation: DataFrame) -> DataFrame:
-    numbered = order.number_repeated_hours(typed_loads(historical, validation))
+    """Numbered per hour label; the check for large labels parses dates and hours only."""
+    labels = _typed(historical, validation).select(*HOUR_KEY)
+    numbered = order.number_repeated_hours(typed_loads(historical, validation), labels=labels)
     return clean.add_regional_total(clean.add_hour_label(numbered)).select(*SILVER_LOADS)
 
 

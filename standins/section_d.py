@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hourgrid.fixed import HISTORICAL, LOAD_COLUMNS, MATCHED
 from hourgrid.operators import clean, errors, features, order, summary
 from hourgrid.plans import medallion
+from hourgrid.sources.scratch import store
 from standins import inputs, sql
 from standins.registry import register
 from standins.section_b import naive_errors, naive_test
@@ -335,7 +336,8 @@ FROM r_errors WHERE caiso_mw >= (SELECT {_QUANTILE} FROM r_errors)"""
     ),
 )
 def peak_hours_metrics(spark, sf):
-    return errors.peak_hours_metrics(naive_errors(spark, sf), "caiso_mw")
+    results = store(naive_errors(spark, sf).select("caiso_mw", "error", "abs_error", "ape"), "results")
+    return errors.peak_hours_metrics(results, "caiso_mw")
 
 
 @register(
