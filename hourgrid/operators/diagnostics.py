@@ -34,6 +34,7 @@ ADF_RIGHT = [1.7339, 0.93202, -0.12745, -0.010368]
 
 # Lag products taken before the bandwidth is known; most bandwidths lie below.
 KPSS_FIRST_PASS = 200
+SPAN_BLOCK = 4_096
 
 
 def lag_correlations(df: DataFrame, value: str, lags: Sequence[int] = (1, 24, 48, 168)) -> DataFrame:
@@ -53,7 +54,7 @@ class SeriesSums:
 
     rows: int
     products: np.ndarray
-    squared_path: float
+    spans: DataFrame
 
 
 @dataclass
@@ -75,11 +76,7 @@ class Series:
 
 
 def series_sums(series: Series, max_lag: int, span: int = SERIES_SPAN) -> SeriesSums:
-    """Lag products of the centred series, and the sum of squares of its running sum.
-
-    With ``o`` the total before a span, the running sums inside are ``o + c``, so a span only needs
-    its row count, total, sum of ``c`` and sum of ``c`` squared; ``o`` comes from adding up totals.
-    """
+    """Lag products of the centred series, and what ``squared_path`` needs of every span."""
     mean = series.mean
     span = max(span, 4 * max_lag)
 
@@ -107,15 +104,28 @@ def series_sums(series: Series, max_lag: int, span: int = SERIES_SPAN) -> Series
 
     schema = "span long, n long, total double, path double, path_sq double, products array<double>"
     spans = series.spans(max_lag, span).groupBy("_span")
-    parts = spans.applyInPandas(sums_of_span, schema).where("n > 0")
-    # The running sum goes over one row per span; ``span`` rows of the series make one.
-    before = F.coalesce(F.sum("total").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    path = F.col("n") * before * before + 2 * before * F.col("path") + F.col("path_sq")
-    all_sums = parts.withColumn("path_squared", path).select(F.array_append("products", F.col("path_squared")).alias("sums"))
-    sums = all_sums.select(F.posexplode("sums").alias("place", "v"))
-    added = sums.groupBy("place").agg(F.sum("v").alias("v")).orderBy("place").collect()
-    values = np.array([row["v"] for row in added])
-    return SeriesSums(series.length, values[:-1], float(values[-1]))
+    parts = store(spans.applyInPandas(sums_of_span, schema).where("n > 0"), "span_sums")
+    places = parts.select(F.posexplode("products").alias("lag", "v"))
+    added = places.groupBy("lag").agg(F.sum("v").alias("v")).orderBy("lag").collect()
+    return SeriesSums(series.length, np.array([row["v"] for row in added]), parts)
+
+
+def squared_path(sums: SeriesSums) -> float:
+    """Sum of squares of the running sum of the centred series.
+
+    With ``o`` the total before a span, the running sums inside are ``o + c``, so a span needs only
+    its row count, total, sum of ``c`` and sum of ``c`` squared. ``o`` is added up in two steps, over
+    blocks of spans and inside a block, so no task sees more than one row per block.
+    """
+    spans = sums.spans.select("span", "n", "total", "path", "path_sq", F.floor(F.col("span") / SPAN_BLOCK).alias("block"))
+    earlier_blocks = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = spans.groupBy("block").agg(F.sum("total").alias("block_total"))
+    blocks = blocks.select("block", F.coalesce(F.sum("block_total").over(earlier_blocks), F.lit(0.0)).alias("before_block"))
+    earlier = W.partitionBy("block").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("before_block") + F.coalesce(F.sum("total").over(earlier), F.lit(0.0))
+    placed = spans.join(blocks, "block").withColumn("o", before)
+    squares = F.col("n") * F.col("o") * F.col("o") + 2 * F.col("o") * F.col("path") + F.col("path_sq")
+    return float(placed.agg(F.sum(squares)).first()[0])
 
 
 def acf(df: DataFrame, value: str, max_lag: int = 200, position: str = "row_ix") -> DataFrame:
@@ -173,7 +183,7 @@ def kpss_test(df: DataFrame, value: str, lags: int | None = None, position: str
             sums = series_sums(series, lags)
     weights = 1 - np.arange(1, lags + 1) / (lags + 1)
     variance = (sums.products[0] + 2 * float(weights @ sums.products[1 : lags + 1])) / rows
-    statistic = sums.squared_path / rows**2 / variance
+    statistic = squared_path(sums) / rows**2 / variance
     p = float(np.interp(statistic, KPSS_CRITICAL, KPSS_P))
     result = [(round(float(statistic), 8), round(p, 8), int(lags))]
     return df.sparkSession.createDataFrame(result, "statistic double, p_value double, lags int")

@@ -38,10 +38,12 @@ def join_weather_on_label(load: DataFrame, weather: DataFrame, label: str = "tim
 def cities_side_by_side(readings: DataFrame, cities: Sequence[str]) -> DataFrame:
     """One row per timestamp of any city, one column per city; one exchange for all cities.
 
+    Written as conditional maxima because ``pivot`` would shuffle twice.
+
     Equal to outer-joining the cities one by one as long as a city has one reading per timestamp.
     """
-    wide = readings.groupBy("timestamp").pivot("city", list(cities)).agg(F.first("temperature"))
-    return wide.select("timestamp", *[F.col(city).alias(f"temp_{city}") for city in cities])
+    columns = [F.max(F.when(F.col("city") == c, F.col("temperature"))).alias(f"temp_{c}") for c in cities]
+    return readings.groupBy("timestamp").agg(*columns)
 
 
 def assign_by_key(df: DataFrame, values: DataFrame, key: str = "row_ix") -> DataFrame:

@@ -35,12 +35,13 @@ def range_positions(df: DataFrame, order: Sequence[str], name: str = "row_ix") -
 
     The sorted rows are written once: range bounds are sampled, so a second evaluation could cut
     elsewhere. Copies that agree in all of ``order`` are split by a running number, so no key, not
-    even one full of copies, has to fit into a task. ``df`` should come from files or from a stored
-    table, whose row order is the same in every attempt.
+    even one full of copies, has to fit into a task. The input is stored first: sampling then costs
+    no second evaluation, and the running number is the same when a lost task is repeated.
     """
     keys = [F.col(column) for column in order] + [F.col("_copy")]
     ranged = (
-        df.withColumn("_copy", F.monotonically_increasing_id())
+        store(df, "unordered")
+        .withColumn("_copy", F.monotonically_increasing_id())
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
     )

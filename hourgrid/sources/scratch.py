@@ -33,6 +33,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> bool:
+    """Remove this application's own intermediate tables; call it after the last result is written."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark), spark.sparkContext.applicationId)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back."""
     spark = df.sparkSession

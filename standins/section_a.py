@@ -91,10 +91,10 @@ def create_namespaces(spark, sf):
     ),
 )
 def multi_file_ingest(spark, sf):
-    """A folder of exports, one file per source, each row tagged with the file it came from."""
+    """A folder of exports, each row tagged with the file it came from."""
     folder = scratch_path(spark, "exports")
     rows = inputs.as_text(inputs.readings(spark, sf))
-    text.write_csv(rows.repartition("source_file").drop("source_file"), folder)
+    text.write_csv(rows.drop("source_file"), folder)
     tagged = text.read_exports(spark, folder)
     return tagged.withColumn("from_csv_file", F.col("source_file").endswith(".csv")).drop("source_file")
 

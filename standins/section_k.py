@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hourgrid.plans import exploration, medallion
+from hourgrid.plans import exploration, layers, medallion
+from hourgrid.sources import text
+from hourgrid.sources.scratch import scratch_path
 from standins import inputs, sql
 from standins.registry import register
 
@@ -40,6 +42,18 @@ def gold_load_weather(spark, sf):
     return inputs.hourly_load_weather(spark, sf)
 
 
+@register("k04_layers_written", sql.hourly("SELECT * FROM h_load_weather"))
+def layers_written(spark, sf):
+    """The whole batch through staged files and tables; the last join read back."""
+    paths = []
+    for raw in (inputs.hourly_raw(spark, sf), inputs.hourly_weather_raw(spark, sf)):
+        paths.append({stage: scratch_path(spark, "staged") for stage in layers.STAGES})
+        for stage, rows in zip(layers.STAGES, raw):
+            text.write_csv(rows, paths[-1][stage])
+    built = layers.rebuild_layers(spark, *paths, scratch_path(spark, "layers"))
+    return built[layers.GOLD_LOAD_WEATHER]
+
+
 _ROLLED = """SELECT *, ROUND(AVG(average_load_mw) OVER (PARTITION BY source_stage ORDER BY load_date
   ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 8) AS rolling_30_day_average_load_mw FROM {p}_daily"""
 ROLLING = "rolling_30_day_average_load_mw"

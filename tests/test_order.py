@@ -74,3 +74,11 @@ def test_lags_take_one_exchange_of_the_rows(random_loads):
     stored = order.store(order.add_position(order.number_repeated_hours(random_loads)), "placed")
     plan = order.add_lags(stored, order.load_lags(["pge", "sce"]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "SinglePartition" not in plan
+
+
+def test_scratch_of_this_application_can_be_dropped(spark):
+    from hourgrid.sources import scratch
+
+    stored = scratch.store(spark.range(3), "three")
+    folder = stored.inputFiles()[0]
+    assert scratch.scratch_root(spark) in folder and stored.count() == 3
