@@ -103,8 +103,57 @@ def pacf(spark, sf):
     return diagnostics.pacf(inputs.readings_placed(spark, sf), LOAD)
 
 
+ADF_LAGS = 30
+
+
+def _eliminated(name, names, source, steps):
+    """Products of the columns over ``source``, the first ``steps`` of them eliminated one by one."""
+    size = len(names)
+    rows = ", ".join("[" + ", ".join(f"SUM({a} * {b})" for b in names) + "]" for a in names)
+    return f"""{name}(k, e) AS (
+  SELECT 0, [{rows}] FROM {source}
+  UNION ALL
+  SELECT k + 1, [CASE WHEN i = k + 1 THEN e[i]
+    ELSE [e[i][j] - e[i][k + 1] * e[k + 1][j] / e[k + 1][k + 1] FOR j IN range(1, {size + 1})] END
+    FOR i IN range(1, {size + 1})]
+  FROM {name} WHERE k < {steps})"""
+
+
+_GAPS = [f"d{k}" for k in range(1, ADF_LAGS + 1)]
+
+
+@register(
+    "i05_adf_statistic",
+    _with(
+        _series("(caiso_mw - forecast_24)", 24),
+        """steps AS MATERIALIZED (SELECT t, 1.0 AS one, LAG(e) OVER (ORDER BY t) AS level,
+  e - LAG(e) OVER (ORDER BY t) AS y FROM centred)""",
+        f"""rows_all AS MATERIALIZED (SELECT *, {", ".join(f"LAG(y, {k}) OVER (ORDER BY t) AS d{k}" for k in range(1, ADF_LAGS + 1))}
+  FROM steps)""",
+        f"rows_full AS MATERIALIZED (SELECT * FROM rows_all WHERE t > {ADF_LAGS})",
+        _eliminated("nested", ["one", "level", *_GAPS, "y"], "rows_full", ADF_LAGS + 2),
+        f"""orders AS (SELECT k - 2 AS lags, n * LN(e[{ADF_LAGS + 3}][{ADF_LAGS + 3}] / n) + 2 * k AS aic
+  FROM nested, (SELECT COUNT(*) AS n FROM rows_full) WHERE k >= 2)""",
+        "best AS MATERIALIZED (SELECT arg_min(lags, aic) AS lags FROM orders)",
+        "rows_used AS MATERIALIZED (SELECT * FROM rows_all, best WHERE t > lags)",
+        _eliminated("refit", ["one", *_GAPS, "level", "y"], "rows_used", "(SELECT lags + 1 FROM best)"),
+        f"""last AS (SELECT e[{ADF_LAGS + 2}][{ADF_LAGS + 2}] AS d, e[{ADF_LAGS + 2}][{ADF_LAGS + 3}] AS b,
+    e[{ADF_LAGS + 3}][{ADF_LAGS + 3}] AS left_over FROM refit, best WHERE k = lags + 1)""",
+    )
+    + """
+SELECT ROUND(b / SQRT((left_over - b * b / d) / (n - lags - 2) * d), 6) AS statistic, CAST(lags AS INT) AS lags,
+  n AS used_rows FROM last, best, (SELECT COUNT(*) AS n FROM rows_used)""",
+)
+def adf_statistic(spark, sf):
+    """On the 24-row difference, which needs many lags; at most 30 are tried."""
+    gaps = order.add_seasonal_differences(inputs.readings_placed(spark, sf), LOAD, [24])
+    tested = diagnostics.adf_test(gaps.where(F.col("row_ix") >= 24), "diff_24", ADF_LAGS)
+    return tested.select("statistic", "lags", "used_rows")
+
+
 @register("i05_adf_test")
 def adf_test(spark, sf):
+    """All lags the rule allows, and the p-value."""
     return diagnostics.adf_test(inputs.readings_placed(spark, sf), LOAD)
 
 
@@ -122,7 +171,26 @@ def kpss_statistic(spark, sf):
     return diagnostics.kpss_test(inputs.readings_placed(spark, sf), LOAD, KPSS_LAGS).select("statistic", "lags")
 
 
-@register("i06_kpss_test")
+@register(
+    "i06_kpss_test",
+    _with(_series("caiso_mw", 0), _products(200))
+    + """
+, path AS (SELECT SUM(e) OVER (ORDER BY t) AS s FROM centred)
+, size AS (SELECT MIN(n) AS n, CAST(FLOOR(POWER(MIN(n), 2 / 9.0)) AS INT) AS m FROM products)
+, ratio AS (SELECT SUM(CASE WHEN k = 0 THEN 0 ELSE 2 * k * p END) / SUM(CASE WHEN k = 0 THEN p ELSE 2 * p END) AS r
+  FROM products, size WHERE k <= m)
+, width AS (SELECT n, CAST(FLOOR(1.1447 * POWER(r * r, 1 / 3.0) * POWER(n, 1 / 3.0)) AS INT) AS lags FROM ratio, size)
+, variance AS (SELECT SUM(CASE WHEN k = 0 THEN p ELSE 2 * (1 - CAST(k AS DOUBLE) / (lags + 1)) * p END) / MIN(width.n) AS v
+  FROM products, width WHERE k <= lags)
+, test AS (SELECT (SELECT SUM(s * s) FROM path) / n / n / v AS x, lags FROM width, variance)
+SELECT ROUND(x, 8) AS statistic, lags, ROUND(CASE
+    WHEN x <= 0.347 THEN 0.1
+    WHEN x <= 0.463 THEN 0.1 - 0.05 * (x - 0.347) / (0.463 - 0.347)
+    WHEN x <= 0.574 THEN 0.05 - 0.025 * (x - 0.463) / (0.574 - 0.463)
+    WHEN x <= 0.739 THEN 0.025 - 0.015 * (x - 0.574) / (0.739 - 0.574)
+    ELSE 0.01 END, 8) AS p_value
+FROM test""",
+)
 def kpss_test(spark, sf):
     """Automatic bandwidth and p-value."""
     return diagnostics.kpss_test(inputs.readings_placed(spark, sf), LOAD)
