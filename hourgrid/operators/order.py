@@ -25,11 +25,6 @@ from hourgrid.sources.scratch import store
 FILE_AND_LOAD = ["source_file", "caiso_mw", "pge_mw", "sce_mw", "sdge_mw", "vea_mw"]
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Rows per key, combined before the shuffle and stored so that later joins know its size."""
-    return store(df.groupBy(*keys).agg(F.count("*").alias(name)), name)
-
-
 def range_positions(df: DataFrame, order: Sequence[str], name: str = "row_ix") -> DataFrame:
     """0-based position in the order of ``order``, by a range sort.
 
@@ -96,9 +91,10 @@ def label_offsets(df: DataFrame, key: Sequence[str] = HOUR_KEY) -> DataFrame:
     """One row per hour label: rows before it, rows of its day.
 
     Day totals are summed up first, so the only unpartitioned window has one row per calendar day.
+    The table is stored, so that later joins know its size.
     """
     day, hour = key
-    labels = group_sizes(df, key, "_rows")
+    labels = df.groupBy(*key).agg(F.count("*").alias("_rows"))
     days = labels.groupBy(day).agg(F.sum("_rows").alias("hours_in_load_date"))
     earlier = W.orderBy(day).rowsBetween(W.unboundedPreceding, -1)
     days = days.withColumn("_before_day", F.coalesce(F.sum("hours_in_load_date").over(earlier), F.lit(0)))
@@ -120,7 +116,8 @@ def add_position(df: DataFrame, name: str = "row_ix") -> DataFrame:
 
 def add_hours_in_day(df: DataFrame, day: str = "load_date") -> DataFrame:
     """Rows per day, joined on rather than windowed, so a large day is not gathered."""
-    return df.join(group_sizes(df, [day], "hours_in_load_date"), day).select(*df.columns, "hours_in_load_date")
+    sizes = store(df.groupBy(day).agg(F.count("*").alias("hours_in_load_date")), "day_sizes")
+    return df.join(sizes, day).select(*df.columns, "hours_in_load_date")
 
 
 def with_halo(df: DataFrame, reach: int, span: int, position: str) -> DataFrame:

@@ -15,8 +15,11 @@ ANY_CASE_CSV = "*.[cC][sS][vV]"
 
 
 def read_csv_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV files with a header, read as declared; columns are pruned by the reader."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV files with a header, read as declared; columns are pruned by the reader.
+
+    A header that does not name the declared columns in their order is an error, not a silent shift.
+    """
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
 def read_staged_loads(spark: SparkSession, path: str) -> DataFrame:
@@ -37,8 +40,12 @@ def read_exports(
     schema: T.StructType = schemas.RAW_LOADS,
     pattern: str = ANY_CASE_CSV,
 ) -> DataFrame:
-    """Every export in a folder as one table, each row tagged with its file."""
-    rows = spark.read.schema(schema).option("header", True).option("pathGlobFilter", pattern).csv(folder)
+    """Every export of one format in a folder as one table, each row tagged with its file.
+
+    Formats that differ in their columns are read apart, by pattern, and stacked by name.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    rows = reader.option("pathGlobFilter", pattern).csv(folder)
     return rows.withColumn("source_file", F.col("_metadata.file_name"))
 
 

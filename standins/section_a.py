@@ -157,8 +157,10 @@ def mixed_timestamp_parse(spark, sf):
     spelled = (
         F.when(turn == 0, F.to_date("l_shipdate").cast("string"))
         .when(turn == 1, moment.cast("string"))
-        .when(turn == 2, F.date_format(moment, "yyyy-MM-dd'T'HH:mm"))
-        .otherwise(F.date_format(moment, "M/d/yyyy H:mm"))
+        .when(turn == 2, F.translate(moment.cast("string"), " ", "T"))
+        .otherwise(
+            F.format_string("%d/%d/%d %d:%02d", F.month(moment), F.day(moment), F.year(moment), F.hour(moment), F.minute(moment))
+        )
     )
     items = inputs.table(spark, sf, "lineitem").withColumn("spelled", spelled)
     american = (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm")
@@ -178,7 +180,7 @@ def mixed_timestamp_parse(spark, sf):
 def hourly_json_source(spark, sf):
     """One folder per city with payloads of a day's parallel arrays, back to one row per hour."""
     hours = inputs.city_readings(spark, sf)
-    moment = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm")
+    moment = F.translate(F.substring(F.col("timestamp").cast("string"), 1, 16), " ", "T")
     day = F.array_sort(F.collect_list(F.struct(moment.alias("time"), F.col("temperature").alias("temperature_2m"))))
     days = hours.groupBy("city", F.to_date("timestamp").alias("d")).agg(day.alias("day"))
     arrays = F.struct(F.col("day.time").alias("time"), F.col("day.temperature_2m").alias("temperature_2m"))

@@ -51,7 +51,7 @@ def cast(spark, sf):
 @register("h05_convert_date", f"SELECT {KEYS}, CAST(l_shipdate AS DATE) AS d FROM lineitem")
 def convert_date(spark, sf):
     """Through the eight-digit spelling and back."""
-    digits = F.date_format("l_shipdate", "yyyyMMdd")
+    digits = F.translate(F.to_date("l_shipdate").cast("string"), "-", "")
     return _items(spark, sf).select(*KEY, F.to_date(digits, "yyyyMMdd").alias("d"))
 
 

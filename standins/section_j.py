@@ -142,6 +142,13 @@ def feature_importance(spark, sf):
     return fitted.importances(spark)
 
 
+@register("f05_sort_importances")
+def sort_importances(spark, sf):
+    """The three features that matter most."""
+    fitted, _ = _forest(spark, sf)
+    return fitted.importances(spark).limit(3)
+
+
 def _final(spark, sf):
     return forecasts.final_validation(frame(spark, sf), inputs.TEST_YEAR, FOREST)
 

@@ -79,6 +79,12 @@ def test_exports_of_any_case_with_their_file(spark, tmp_path):
     assert sorted(r.source_file for r in rows) == ["FEB.CSV", "jan.csv"]
 
 
+def test_a_header_in_another_order_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("HR,Date,PGE,SCE,SDGE,VEA,CAISO\n1,2024-01-01,1,2,3,4,10\n")
+    with pytest.raises(Exception, match="CSV header"):
+        text.read_exports(spark, str(tmp_path)).collect()
+
+
 def test_payload_arrays_become_rows(spark, tmp_path):
     body = '{"hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "temperature_2m": [50.1, 51.2]}}'
     (tmp_path / "san_jose_2024.json").write_text(body)
