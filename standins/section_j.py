@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourgrid.fixed import TERRITORIES
@@ -144,9 +145,12 @@ def feature_importance(spark, sf):
 
 @register("f05_sort_importances")
 def sort_importances(spark, sf):
-    """The three features that matter most."""
+    """Largest first; the rank is part of the result."""
     fitted, _ = _forest(spark, sf)
-    return fitted.importances(spark).limit(3)
+    importances = fitted.importances(spark)
+    # One row per feature.
+    rank = F.row_number().over(W.orderBy(F.desc("importance"), "feature"))
+    return importances.withColumn("rank", rank).orderBy("rank")
 
 
 def _final(spark, sf):
