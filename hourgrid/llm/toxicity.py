@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from hourgrid.llm.common import CACHE_ENTRIES, Batches, as_batch, strings
 from hourgrid.sources.scratch import store
 
-FEATURE_BITS = 18
+# Features of which the fit takes note: the most telling ones of the sample, each in so many documents at least.
+MAX_FEATURES = 4096
+LEAST_DOCUMENTS = 4
+LEAST_Z = 4.0
 # The fit's bound: labelled documents that it sees at most, drawn by a hash of their id.
 SAMPLE_DOCUMENTS = 30_000
 SAMPLE_FILES = 16
 ROUNDS = 30
-STEP = 0.35
-PENALTY = 1e-5
+STEP = 0.4
+PENALTY = 1e-4
 THRESHOLD = 0.3
 
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)")
@@ -34,9 +37,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def features(word: str) -> list[int]:
     """Hashed features of a lower-case word: itself and its first four and five letters."""
-    size = 1 << FEATURE_BITS
     parts = (f"w{word}", f"4{word[:4]}", f"5{word[:5]}")
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % size for p in parts]
+    hashed = (hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8).digest() for p in parts)
+    return [int.from_bytes(h, "little", signed=True) for h in hashed]
 
 
 class _Features(dict):
@@ -50,25 +53,60 @@ class _Features(dict):
 _KNOWN = _Features()
 
 
-def _bags(batches: Batches) -> Batches:
-    """(label, ids, ends): the features of a document and where each sentence's end."""
+def _count(batches: Batches) -> Batches:
+    """(feature, docs, toxic): in how many documents a feature is, and in how many toxic ones."""
     for batch in batches:
-        bags, ends = [], []
-        for text in strings(batch):
-            ids, own = [], []
-            for start, end in sentences(text):
-                for word in set(_WORD.findall(text[start:end].lower())):
-                    ids.extend(_KNOWN[word])
-                own.append(len(ids))
-            bags.append(ids)
-            ends.append(own)
-        if bags:
-            yield as_batch({"label": batch.column("label"), "ids": pa.array(bags, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32()))})
+        labels = batch.column("label").to_pylist()
+        own = [np.fromiter({f for w in set(_WORD.findall(t.lower())) for f in _KNOWN[w]}, np.int64) for t in strings(batch)]
+        if not own:
+            continue
+        found, where = np.unique(np.concatenate(own), return_inverse=True)
+        marks = np.repeat(np.array(labels, np.int64), [len(o) for o in own])
+        toxic = np.bincount(where, marks, len(found)).astype(np.int64)
+        yield as_batch({"feature": found, "docs": np.bincount(where, minlength=len(found)).astype(np.int64), "toxic": toxic})
+
+
+def _select(sample: DataFrame, n: int, positive: int) -> list[int]:
+    """The features that toxic documents have more often, by the normal statistic of two shares."""
+    counts = sample.mapInArrow(_count, "feature long, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    share = F.col("docs") / n
+    gap = F.col("toxic") / positive - (F.col("docs") - F.col("toxic")) / (n - positive)
+    z = gap / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / positive + 1 / (n - positive)))
+    telling = counts.where(F.col("docs") >= LEAST_DOCUMENTS).withColumn("z", z).where(F.col("z") >= LEAST_Z)
+    return [r["feature"] for r in telling.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()]
+
+
+def _bags(chosen: list[int]):
+    place = {f: i for i, f in enumerate(chosen)}
+
+    def run(batches: Batches) -> Batches:
+        """(label, ids, ends): the chosen features of a document and where each sentence's end."""
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            bags, ends = [], []
+            for text in strings(batch):
+                ids, own = [], []
+                for start, end in sentences(text):
+                    for word in set(_WORD.findall(text[start:end].lower())):
+                        if word not in known:
+                            if len(known) >= CACHE_ENTRIES:
+                                known.clear()
+                            known[word] = [place[f] for f in features(word) if f in place]
+                        ids.extend(known[word])
+                    own.append(len(ids))
+                bags.append(ids)
+                ends.append(own)
+            if bags:
+                yield as_batch({"label": batch.column("label"), "ids": pa.array(bags, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32()))})
+
+    return run
 
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    """The weight of each chosen feature, and the bias of a sentence."""
+
+    weights: dict[int, float]
     bias: float
 
 
@@ -112,20 +150,23 @@ def _step(weights: np.ndarray, bias: float):
 def fit(labelled: DataFrame) -> Model:
     """Fit to (doc_id, text, label) rows; a null label teaches nothing, a null text is empty.
 
-    The sample of at most SAMPLE_DOCUMENTS rows is stored as SAMPLE_FILES files of sentence features. Each round is a
-    Spark job over them that returns one gradient a file; the driver takes the (Adam) step. Without a
-    toxic or without a clean row the score is the label's share for all texts.
+    The sample of at most SAMPLE_DOCUMENTS rows is stored as SAMPLE_FILES files. Features are counted over it, and the
+    most telling MAX_FEATURES kept. Each round is a Spark job over the documents' bags of features that returns one
+    gradient a file; the driver takes the (Adam) step. Without a toxic or without a clean row the score is
+    the label's share for all texts.
     """
     rows = labelled.where("label IS NOT NULL")
-    chosen = rows.select("doc_id", "label", F.xxhash64("doc_id").alias("_draw")).orderBy("_draw", "doc_id", "label").limit(SAMPLE_DOCUMENTS)
-    picked = store(chosen.select("doc_id", "label"), "toxicity-sample")
-    sample = rows.select("doc_id", "text").join(picked, "doc_id").select("text", F.col("label").cast("int"))
-    bags = store(sample.mapInArrow(_bags, "label int, ids array<int>, ends array<int>").repartition(SAMPLE_FILES), "toxicity-bags")
-    n, positive = bags.agg(F.count("*"), F.sum("label")).first()
-    share = ((positive or 0) + 0.5) / (n + 1)
-    weights, bias = np.zeros(1 << FEATURE_BITS), -4.0
+    drawn = rows.select("doc_id", "label", F.xxhash64("doc_id").alias("_draw")).orderBy("_draw", "doc_id", "label").limit(SAMPLE_DOCUMENTS)
+    picked = store(drawn.select("doc_id", "label"), "toxicity-sample")
+    texts = rows.select("doc_id", "text").join(picked, "doc_id").select("text", F.col("label").cast("int"))
+    sample = store(texts.repartition(SAMPLE_FILES), "toxicity-texts")
+    n, positive = sample.agg(F.count("*"), F.sum("label")).first()
     if not positive or positive == n:
-        return Model(weights, float(np.log(share / (1 - share))))
+        share = ((positive or 0) + 0.5) / (n + 1)
+        return Model({}, float(np.log(share / (1 - share))))
+    chosen = _select(sample, n, positive)
+    bags = store(sample.mapInArrow(_bags(chosen), "label int, ids array<int>, ends array<int>"), "toxicity-bags")
+    weights, bias = np.zeros(len(chosen)), -5.0
     mean, square = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
     schema = "n long, loss double, shift double, slope binary"
     for round_ in range(1, ROUNDS + 1):
@@ -137,18 +178,18 @@ def fit(labelled: DataFrame) -> Model:
         square += 0.01 * (slope * slope - square)
         move = STEP * (mean / (1 - 0.9**round_)) / (np.sqrt(square / (1 - 0.99**round_)) + 1e-6)
         weights, bias = weights - move[:-1], bias - float(move[-1])
-    return Model(weights, bias)
+    return Model(dict(zip(chosen, weights.tolist())), bias)
 
 
 class _Scores(dict):
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: dict[int, float]):
         super().__init__()
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        found = self[word] = float(self.weights[_KNOWN[word]].sum())
+        found = self[word] = sum(self.weights.get(f, 0.0) for f in features(word))
         return found
 
 
