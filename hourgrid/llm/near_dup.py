@@ -18,9 +18,9 @@ WIDTH = 5
 SKETCH = 32
 # A pair at the threshold of 0.85 shares at least this many of the union's SKETCH lowest values but for a chance of 1e-8.
 SHARED = 14
-# Lists up to this length are paired off; longer ones are compared with a pivot, at most so many times over.
+# Lists up to this length are paired off; longer ones are compared with what their members share, at most so many times over.
 SHORT_LIST = 64
-PIVOT_ROUNDS = 8
+ROUNDS = 6
 LINKS_FROM = Fraction(85, 100)
 
 _WORDS = WordHashes()
@@ -127,71 +127,94 @@ def _by_length(lists: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     return short, lists.join(sizes.where(F.col("size") > SHORT_LIST).select("key"), "key")
 
 
-def _compared(long: DataFrame, sets: DataFrame) -> DataFrame:
-    """Every member of a long list with the list's most central class, the pivot: what it has gained and lost."""
-    central = long.groupBy("key").agg(F.min(F.struct("rare", (-F.col("n")).alias("n"), "node"))["node"].alias("pivot"))
-    members = long.join(central, "key").where("node <> pivot").select("pivot", "node", "n", "rare").distinct()
-    both = _with_sets(members, sets, "node", "pivot")
-    common = F.size(F.array_intersect("v_node", "v_pivot"))
+def _groups(long: DataFrame, sets: DataFrame) -> DataFrame:
+    """(mark, node, n, rare, values): the members of long lists, once for all lists with the same leading class."""
+    leading = long.groupBy("key").agg(F.min(F.struct("rare", "n", "node"))["node"].alias("leading"))
+    members = long.join(leading, "key").select(F.xxhash64("leading").alias("mark"), "node", "n", "rare").distinct()
+    return members.join(sets, "node")
+
+
+def _cores(groups: DataFrame) -> DataFrame:
+    """(mark, reference): the values that more than half of a group's members have."""
+    sizes = groups.groupBy("mark").agg(F.count("*").alias("size"))
+    values = groups.select("mark", F.explode("values").alias("value")).groupBy("mark", "value").agg(F.count("*").alias("owners"))
+    # Of a set of values each owned by half of the members there are at most twice as many as an average member has.
+    core = values.join(F.broadcast(sizes), "mark").where("2 * owners > size").groupBy("mark").agg(F.collect_list("value").alias("reference"))
+    empty = F.array().cast("array<long>")
+    return sizes.join(core, "mark", "left").select("mark", F.coalesce("reference", empty).alias("reference"))
+
+
+def _compared(groups: DataFrame, references: DataFrame) -> DataFrame:
+    """Every member with its group's reference set: what it has gained and lost, and if it is settled, that is similar to it."""
+    both = groups.join(references, "mark")
+    common = F.size(F.array_intersect("values", "reference"))
     return both.select(
-        "pivot",
+        "mark",
         "node",
         "n",
         "rare",
-        _linked(F.size("v_node"), F.size("v_pivot"), common).alias("settled"),
-        F.size("v_pivot").alias("pivot_n"),
-        F.array_except("v_node", "v_pivot").alias("gained"),
-        F.array_except("v_pivot", "v_node").alias("lost"),
+        _linked(F.size("values"), F.size("reference"), common).alias("settled"),
+        F.size("reference").alias("reference_n"),
+        F.array_except("values", "reference").alias("gained"),
+        F.array_except("reference", "values").alias("lost"),
     )
 
 
+def _pivots(compared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members similar to their group's core, and of each group the closest one with its set: (mark, pivot, reference)."""
+    distance = F.size("gained") + F.size("lost")
+    near = compared.where("settled").select("mark", "node", distance.alias("distance"))
+    closest = near.groupBy("mark").agg(F.min(F.struct("distance", "node"))["node"].alias("pivot"))
+    members = groups.join(near.select("mark", "node"), ["mark", "node"])
+    sets = members.select("mark", F.col("node").alias("pivot"), F.col("values").alias("reference"))
+    return members, closest.join(sets, ["mark", "pivot"])
+
+
 def _gained_lists(compared: DataFrame) -> DataFrame:
-    """Lists of values that members have and their pivot hasn't, rarest first.
+    """Lists of values that members have and their reference hasn't, rarest first.
 
-    With g, h values gained and lost against a pivot of r values, a class that isn't linked to the pivot shares at
+    With g, h values gained and lost against a reference of r values, a class that isn't similar to it shares at
     least (0.85 g + h - 0.15 r) / 1.85 gained values with any linked class that has not lost more than it has
     gained, and with any that shares no lost value with it. So it is listed under its rarest gained
-    values, up to one more than the others. For a class linked to the pivot that number is not positive, and all count.
+    values, up to one more than the others. For a similar class that number is not positive, and all count.
     """
     top, whole = LINKS_FROM.numerator, LINKS_FROM.denominator
     gained, lost = F.size("gained"), F.size("lost")
-    needed = F.ceil((top * gained + whole * lost - (whole - top) * F.col("pivot_n")) / F.lit(top + whole) - 1e-9)
-    sized = compared.select("pivot", "node", "n", "rare", "settled", (gained - F.greatest(needed, F.lit(1)) + 1).alias("take"), gained.alias("all"), F.explode("gained").alias("value"))
-    owners = sized.groupBy("pivot", "value").agg(F.count("*").alias("owners")).where("owners > 1")
+    needed = F.ceil((top * gained + whole * lost - (whole - top) * F.col("reference_n")) / F.lit(top + whole) - 1e-9)
+    take = gained - F.greatest(needed, F.lit(1)) + 1
+    sized = compared.select("mark", "node", "n", "rare", "settled", take.alias("take"), gained.alias("all"), F.explode("gained").alias("value"))
+    owners = sized.groupBy("mark", "value").agg(F.count("*").alias("owners")).where("owners > 1")
     grouped = (
-        sized.join(owners, ["pivot", "value"])
-        .groupBy("pivot", "node", "n", "rare", "settled", "take", "all")
+        sized.join(owners, ["mark", "value"])
+        .groupBy("mark", "node", "n", "rare", "settled", "take", "all")
         .agg(F.sort_array(F.collect_list(F.struct("owners", "value"))).alias("found"))
     )
     keep = F.greatest(F.col("take") - (F.col("all") - F.size("found")), F.lit(0)).cast("int")
     entry = grouped.withColumn("entry", F.explode(F.slice("found", F.lit(1), keep)))
-    return entry.select(F.xxhash64("pivot", "entry.value", F.lit("gained")).alias("key"), "node", "n", "rare", "settled")
+    return entry.select(F.xxhash64("mark", "entry.value").alias("key"), "node", "n", "rare", "settled")
 
 
-def _lost_lists(compared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs, and lists that are still too long, of classes that miss the same value of their pivot, where one has
-    lost more than it has gained and the other isn't linked to the pivot.
+def _lost_pairs(compared: DataFrame) -> DataFrame:
+    """Pairs of classes that lack the same value of their reference, where one has lost more than it has gained and
+    the other isn't similar to the reference. A core keeps what most members have, so few have lost more.
     """
     shrunk = F.size("lost") > F.size("gained")
-    rows = compared.select("pivot", "node", "n", "rare", "settled", shrunk.alias("shrunk"), F.explode("lost").alias("value"))
-    rows = rows.where("shrunk OR NOT settled").withColumn("key", F.xxhash64("pivot", "value", F.lit("lost")))
-    sizes = rows.groupBy("key").agg(F.count_if("shrunk").alias("shrunken"), F.count("*").alias("size")).where("shrunken > 0 AND size > 1")
-    few = rows.join(sizes.where(F.col("shrunken") <= SHORT_LIST).select("key"), "key")
-    many = rows.join(sizes.where(F.col("shrunken") > SHORT_LIST).select("key"), "key")
-    x, y = few.where("shrunk").alias("x"), few.where("NOT settled").alias("y")
+    rows = compared.select("mark", "node", "n", "settled", shrunk.alias("shrunk"), F.explode("lost").alias("value"))
+    x, y = rows.where("shrunk").alias("x"), rows.where("NOT settled").alias("y")
     close = (F.col("x.node") != F.col("y.node")) & _similar_size(F.col("x.n"), F.col("y.n"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close)
-    ordered = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return ordered, many.select("key", "node", "n", "rare", F.lit(False).alias("settled"))
+    pairs = x.join(y, (F.col("x.mark") == F.col("y.mark")) & (F.col("x.value") == F.col("y.value")) & close)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def find_links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) that hold together what is linked: each pair of linked classes is in one component of the result.
 
-    Classes of a short list are paired off. All classes of a long list are compared with its pivot. Two classes
-    that are linked to the pivot are connected by it; a linked pair of which one isn't must share a value that the
-    pivot lacks, or both lack a value of the pivot, and is found by lists of such values, which are
-    handled the same way. Pairs are then checked by the union's sketch and by the full sets.
+    Classes of a short list are paired off. Those of a long list are compared with the list's core, the values that
+    most of them have. A linked pair that isn't similar to the core on both sides must share a value that the
+    core lacks, or both lack a value of the core, and is found by lists of such values. Classes similar to the core are
+    compared with the one closest to it, the pivot: what is linked to the pivot is connected by it, and
+    other pairs are found by such lists again. Lists that are still long are handled the same way. Pairs
+    are then checked by the union's sketch and by the full sets.
     """
     lists = store(inverted_lists(classes).withColumn("settled", F.lit(False)), "near-lists")
     short, long = _by_length(lists, "near-sizes")
@@ -199,24 +222,27 @@ def find_links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     long = store(long, "near-long")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     sets = _full_sets(ends.unionByName(long.select("node")).distinct(), classes, texts)
-    links, rounds = None, 0
-    while not long.isEmpty() and rounds < PIVOT_ROUNDS:
+    links, rounds = pairs.limit(0), 0
+    while rounds < ROUNDS and not long.isEmpty():
         rounds += 1
-        compared = store(_compared(long, sets), "near-compared")
-        found = compared.where("settled").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        lost_pairs, lost_long = _lost_lists(compared)
-        short, gained_long = _by_length(store(_gained_lists(compared), "near-gained"), "near-sizes")
-        more = _paired(short).unionByName(lost_pairs).distinct()
+        groups = store(_groups(long, sets), "near-groups")
+        to_core = store(_compared(groups, _cores(groups)), "near-core")
+        members, pivots = _pivots(to_core, groups)
+        pivots = store(pivots, "near-pivots")
+        to_pivot = _compared(members, pivots.select("mark", "reference")).join(pivots.select("mark", "pivot"), "mark")
+        to_pivot = store(to_pivot.withColumn("mark", F.xxhash64("mark", F.lit("pivot"))), "near-pivot")
+        links = links.unionByName(to_pivot.where("settled AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        both = to_core.unionByName(to_pivot.drop("pivot"))
+        short, long = _by_length(store(_gained_lists(both), "near-gained"), "near-sizes")
+        more = _paired(short).unionByName(_lost_pairs(both)).distinct()
         pairs = pairs.unionByName(store(_estimated(more, classes), "near-pairs"))
-        long = store(gained_long.unionByName(lost_long), "near-long")
+        long = store(long, "near-long")
     if not long.isEmpty():
-        # What so many pivots have not thinned is paired off in full.
+        # What so many rounds have not thinned is paired off in full.
         pairs = pairs.unionByName(store(_estimated(_paired(long), classes), "near-pairs"))
-    both = _with_sets(pairs.distinct(), sets, "a", "b")
+    checked = _with_sets(pairs.distinct(), sets, "a", "b")
     common = F.size(F.array_intersect("v_a", "v_b"))
-    checked = both.where(_linked(F.size("v_a"), F.size("v_b"), common)).select("a", "b")
-    return checked if links is None else checked.unionByName(links)
+    return checked.where(_linked(F.size("v_a"), F.size("v_b"), common)).select("a", "b").unionByName(links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
