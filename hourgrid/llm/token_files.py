@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import CACHE_ENTRIES, Batches, as_batch, strings
+from hourgrid.llm.common import CACHE_ENTRIES, LOWER, Batches, as_batch, strings
 from hourgrid.sources.scratch import store
 
 BITS = 20
@@ -125,13 +125,26 @@ def decode_block(payload: bytes, frequency: np.ndarray, start: int = 0, stop: in
     return out[start - begin : stop - begin]
 
 
-_BEFORE_END = re.compile(r"(?<=[^\W_])([.,])(?=\s)")
+# Marks that close a word; after a letter and before white space each is a match by itself.
+_CLOSING = ".,;:!?"
+_JOINED = 50
+
+
+# Separators to str.split, but not to the tokenizer.
+_CONTROL = re.compile("[\x1c-\x1f]")
+
+
+def _split(text: str) -> list[str]:
+    """The white-space words, A-Z lower-cased."""
+    lower = text.encode("utf-8").translate(LOWER).decode("utf-8")
+    return [w for w in re.split("[ \t\n\r]+", lower) if w] if _CONTROL.search(lower) else lower.split()
 
 
 class _WordIds(dict):
     """Ids of white-space words, kept for those seen lately. No match of the tokenizer's splitting pattern,
-    no composition and no special token spans white space, and a full stop or comma between a letter or digit
-    and white space is a match by itself; so the ids of a text are those of its words, one after another.
+    no composition and no special token spans white space, so the ids of a text are those of its words, one after
+    another. Words of letters are one match each; the tokenizer marks the last id of a match, so
+    new ones are encoded many at a time and told apart by that mark.
     """
 
     def __init__(self, path: str):
@@ -142,14 +155,45 @@ class _WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that consist of letters."""
+        texts = [" ".join(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)]
+        ids = np.array([i for found in self._encode(texts) for i in found], "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            # Letters that case or composition turns into something else.
+            self._learn_each(words)
+            return
+        raw, starts = ids.tobytes(), np.r_[0, ends[:-1]]
+        for word, start, end in zip(words, (4 * starts).tolist(), (4 * ends).tolist()):
+            self[word] = raw[start:end]
+
+    def _learn_each(self, words: list[str]) -> None:
+        for word, ids in zip(words, self._encode(words)):
+            self[word] = np.array(ids, "<u4").tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
-        words = [_BEFORE_END.sub(r" \1", t).split() for t in texts]
+        words = [_split(t) for t in texts]
         if len(self) > CACHE_ENTRIES:
             self.clear()
-        new = list(set().union(*words).difference(self))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[word] = np.array(found.ids, "<u4").tobytes()
+        new = set().union(*words).difference(self)
+        # Lower case can add a mark that is no letter.
+        closed = [w for w in new if w[-1] in _CLOSING and w[:-1].lower().isalpha()]
+        plain = {w for w in new if w.lower().isalpha()}
+        plain.update(w[:-1] for w in closed)
+        self._learn(list(plain.difference(self)))
+        others = new.difference(closed).difference(plain)
+        self._learn_each([*others, *(c for c in _CLOSING if c not in self)])
+        for word in closed:
+            self[word] = self[word[:-1]] + self[word[-1]]
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
@@ -166,8 +210,8 @@ def _tokenize(path: str, end_id: int):
         context, start = TaskContext.get(), 0
         bucket = context.partitionId() if context else 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 found = [i + end for i in _word_ids(path).of(strings(part))]
                 sizes = np.array([len(i) // 4 for i in found], np.int64)
                 starts = start + np.cumsum(sizes) - sizes
@@ -199,8 +243,9 @@ def _unpack(packed: bytes) -> np.ndarray:
 def _count(batches: Batches) -> Batches:
     counts = np.zeros(0, np.int64)
     for batch in batches:
-        for packed in batch.column("ids"):
-            more = np.bincount(_unpack(packed.as_py()))
+        packed = batch.column("ids").to_pylist()
+        for at in range(0, len(packed), 1000):
+            more = np.bincount(np.concatenate([_unpack(p) for p in packed[at : at + 1000]]))
             if len(more) > len(counts):
                 more[: len(counts)] += counts
                 counts = more
