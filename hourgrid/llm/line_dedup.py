@@ -9,13 +9,13 @@ from hourgrid.sources.scratch import store
 
 # Lines of fewer words are duplicates only if equal; longer ones also at an edit distance of one word.
 FUZZY_WORDS = 8
-_SPACE = r"[\x20\x09-\x0D]+"
+_SPACE = r"[\x20\x09-\x0D]"
 _PLACE = ["no_id", "doc_id", "text_key", "line_no"]
 
 
 def words_of(line: Column) -> Column:
     """The lower-cased words of a line; none for a blank one."""
-    return F.filter(F.split(F.lower(line), _SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), _SPACE), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
