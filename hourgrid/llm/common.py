@@ -59,6 +59,28 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+FILTER_BITS = 24
+
+
+def bitmap_of(df: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter with one hash, of a fixed size of 2 MB for any number of rows: which top FILTER_BITS bits
+    the column's 64-bit hashes have.
+    """
+    word = F.shiftrightunsigned(column, 64 - FILTER_BITS + 6)
+    bit = F.shiftrightunsigned(column, 64 - FILTER_BITS).bitwiseAND(F.lit(63))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
+    words = df.select(word.alias("word"), one.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return table
+
+
+def may_be_in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For unsigned 64-bit hashes, whether the filter has them; it may say so of others."""
+    place = hashes >> np.uint64(64 - FILTER_BITS)
+    return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+
+
 class WordHashes(dict):
     """64-bit hash of a word, kept for words seen lately."""
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import WordHashes, map_rows, shingles, strings
+from hourgrid.llm.common import Batches, WordHashes, as_batch, bitmap_of, map_rows, may_be_in, shingles, strings
 from hourgrid.llm.components import components
 from hourgrid.sources.scratch import store
 
@@ -47,9 +47,18 @@ def _sketch(batch: pa.RecordBatch) -> dict:
     }
 
 
-def _sets(batch: pa.RecordBatch) -> dict:
-    found = [shingle_set(t).view(np.int64) for t in strings(batch)]
-    return {"node": batch.column("node"), "values": pa.array(found, pa.list_(pa.int64()))}
+def _sets(shared):
+    def run(batches: Batches) -> Batches:
+        """The sets of the texts that may be wanted."""
+        for batch in batches:
+            keys = np.asarray(batch.column("text_key")).view(np.uint64)
+            kept = batch.filter(pa.array(may_be_in(shared.value, keys)))
+            if kept.num_rows:
+                found = [shingle_set(t).view(np.int64) for t in strings(kept)]
+                columns = {c: kept.column(c) for c in ("doc_id", "text_key")}
+                yield as_batch({**columns, "values": pa.array(found, pa.list_(pa.int64()))})
+
+    return run
 
 
 def _unsigned(value: Column) -> Column:
@@ -95,12 +104,15 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _full_sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, values): the whole sets of the given classes, from one text of each."""
+    """(node, values): the whole sets of the given classes, from one text of each. Texts are read again and stay where they are; a
+    filter of fixed size passes over most of those that aren't wanted.
+    """
     rows = store(classes.join(nodes, "node", "left_semi").select("node", "doc_id", "text_key"), "near-wanted")
-    same = texts["doc_id"].eqNullSafe(rows["doc_id"]) & (texts["text_key"] == rows["text_key"])
-    found = map_rows(texts.join(rows, same).select("node", "text"), _sets, "node binary, values array<long>")
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(rows, "text_key"))
+    found = texts.mapInArrow(_sets(shared), "doc_id long, text_key long, values array<long>")
+    same = found["doc_id"].eqNullSafe(rows["doc_id"]) & (found["text_key"] == rows["text_key"])
     # Repeated rows have the same set.
-    return store(found.groupBy("node").agg(F.first("values").alias("values")), "near-sets")
+    return store(found.join(rows, same).groupBy("node").agg(F.first("values").alias("values")), "near-sets")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
@@ -178,31 +190,45 @@ def _gained_lists(compared: DataFrame) -> DataFrame:
     gained, and with any that shares no lost value with it. So it is listed under its rarest gained
     values, up to one more than the others. For a similar class that number is not positive, and all count.
     """
+    gained = F.size("gained")
+    listed = _rarest(compared.select(*_MEMBER, (gained - _needed() + 1).alias("take"), gained.alias("all"), F.explode("gained").alias("value")))
+    return listed.select("key", "node", "n", "rare", "settled")
+
+
+_MEMBER = ["mark", "node", "n", "rare", "settled"]
+
+
+def _needed() -> Column:
+    """How many values gained or lost a class that isn't similar to the reference shares with a linked one at least."""
     top, whole = LINKS_FROM.numerator, LINKS_FROM.denominator
-    gained, lost = F.size("gained"), F.size("lost")
-    needed = F.ceil((top * gained + whole * lost - (whole - top) * F.col("reference_n")) / F.lit(top + whole) - 1e-9)
-    take = gained - F.greatest(needed, F.lit(1)) + 1
-    sized = compared.select("mark", "node", "n", "rare", "settled", take.alias("take"), gained.alias("all"), F.explode("gained").alias("value"))
-    owners = sized.groupBy("mark", "value").agg(F.count("*").alias("owners")).where("owners > 1")
-    grouped = (
-        sized.join(owners, ["mark", "value"])
-        .groupBy("mark", "node", "n", "rare", "settled", "take", "all")
-        .agg(F.sort_array(F.collect_list(F.struct("owners", "value"))).alias("found"))
-    )
+    least = top * F.size("gained") + whole * F.size("lost") - (whole - top) * F.col("reference_n")
+    return F.greatest(F.ceil(least / F.lit(top + whole) - 1e-9), F.lit(1))
+
+
+def _rarest(rows: DataFrame) -> DataFrame:
+    """Of each member's ``all`` values, the list keys of the ``take`` ones that the fewest members of its group have."""
+    owners = rows.groupBy("mark", "value").agg(F.count("*").alias("owners")).where("owners > 1")
+    member = [c for c in rows.columns if c != "value"]
+    grouped = rows.join(owners, ["mark", "value"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("owners", "value"))).alias("found"))
     keep = F.greatest(F.col("take") - (F.col("all") - F.size("found")), F.lit(0)).cast("int")
     entry = grouped.withColumn("entry", F.explode(F.slice("found", F.lit(1), keep)))
-    return entry.select(F.xxhash64("mark", "entry.value").alias("key"), "node", "n", "rare", "settled")
+    return entry.withColumn("key", F.xxhash64("mark", "entry.value"))
 
 
 def _lost_pairs(compared: DataFrame) -> DataFrame:
-    """Pairs of classes that lack the same value of their reference, where one has lost more than it has gained and
-    the other isn't similar to the reference. A core keeps what most members have, so few have lost more.
+    """Pairs of which one has lost more than it has gained and the other isn't similar to the reference.
+
+    Together they share at least as many values gained or lost as the larger need of both, so they are listed under
+    their rarest of either kind. A core keeps what most members have, so few have lost more.
     """
     shrunk = F.size("lost") > F.size("gained")
-    rows = compared.select("mark", "node", "n", "settled", shrunk.alias("shrunk"), F.explode("lost").alias("value"))
-    x, y = rows.where("shrunk").alias("x"), rows.where("NOT settled").alias("y")
+    lost = F.transform("lost", lambda v: F.xxhash64(v, F.lit("lost")))
+    all_ = F.size("gained") + F.size("lost")
+    rows = compared.select(*_MEMBER, shrunk.alias("shrunk"), (all_ - _needed() + 1).alias("take"), all_.alias("all"), F.explode(F.concat("gained", lost)).alias("value"))
+    listed = _rarest(rows.where("shrunk OR NOT settled"))
+    x, y = listed.where("shrunk").alias("x"), listed.where("NOT settled").alias("y")
     close = (F.col("x.node") != F.col("y.node")) & _similar_size(F.col("x.n"), F.col("y.n"))
-    pairs = x.join(y, (F.col("x.mark") == F.col("y.mark")) & (F.col("x.value") == F.col("y.value")) & close)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 

@@ -7,12 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import Batches, WordHashes, as_batch, map_rows, shingles, strings
+from hourgrid.llm.common import Batches, WordHashes, as_batch, bitmap_of, map_rows, may_be_in, shingles, strings
 from hourgrid.sources.scratch import store
 
 MIN_TILE = 5
 COVERAGE = 0.5
-FILTER_BITS = 24
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _WORDS = WordHashes(lambda word: word.strip(_PUNCTUATION) or word)
@@ -84,29 +83,17 @@ def _item_seeds(batch: pa.RecordBatch) -> dict:
     }
 
 
-def _filter_of(seeds: DataFrame) -> np.ndarray:
-    """One bit for each value of FILTER_BITS bits of a seed: a Bloom filter of fixed size, 2 MB, for any benchmark."""
-    word, bit = F.shiftrightunsigned("seed", 64 - FILTER_BITS + 6), F.shiftrightunsigned("seed", 64 - FILTER_BITS).bitwiseAND(F.lit(63))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
-    words = seeds.select(word.alias("word"), one.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return np.unpackbits(table.view(np.uint8), bitorder="little")
-
-
 def _hits(shared):
-    top = np.uint64(64 - FILTER_BITS)
-
     def run(batches: Batches) -> Batches:
         """Documents with a seed that may be one of the benchmark's, and those seeds."""
-        bits = np.unpackbits(shared.value, bitorder="little").view(bool)
+        table = shared.value
         for batch in batches:
             rows, seeds = [], []
             for i, text in enumerate(strings(batch)):
                 words = tokens(text)
                 if len(words) >= MIN_TILE:
                     own = shingles(words, MIN_TILE)
-                    hit = own[bits[own >> top]]
+                    hit = own[may_be_in(table, own)]
                     if len(hit):
                         rows.append(i)
                         seeds.append(np.unique(hit).view(np.int64))
@@ -151,8 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").distinct()
     items = items.withColumn("item_key", F.xxhash64("text"))
     seeds = store(map_rows(items.select("item_id", "text"), _item_seeds, "item_id long, place int, n_words int, seed long"), "item-seeds")
-    table = np.packbits(_filter_of(seeds), bitorder="little")
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(seeds, "seed"))
     schema = "doc_id long, doc_key long, text string, seeds array<long>"
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("doc_key"), "text")
     hits = store(texts.mapInArrow(_hits(shared), schema), "hit-documents")
