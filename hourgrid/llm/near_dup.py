@@ -210,26 +210,41 @@ def _rarest(rows: DataFrame) -> DataFrame:
     owners = rows.groupBy("mark", "value").agg(F.count("*").alias("owners")).where("owners > 1")
     member = [c for c in rows.columns if c != "value"]
     grouped = rows.join(owners, ["mark", "value"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("owners", "value"))).alias("found"))
-    keep = F.greatest(F.col("take") - (F.col("all") - F.size("found")), F.lit(0)).cast("int")
-    entry = grouped.withColumn("entry", F.explode(F.slice("found", F.lit(1), keep)))
-    return entry.withColumn("key", F.xxhash64("mark", "entry.value"))
+    alone = F.col("all") - F.size("found")
+    keep = F.greatest(F.col("take") - alone, F.lit(0)).cast("int")
+    entry = grouped.withColumn("alone", alone).select(*member, "alone", F.posexplode(F.slice("found", F.lit(1), keep)).alias("at", "entry"))
+    # How many of the member's values may be shared if this is the first that is: it and all more frequent ones.
+    left = F.col("all") - F.col("alone") - F.col("at")
+    return entry.withColumns({"key": F.xxhash64("mark", "entry.value"), "left": left})
 
 
 def _lost_pairs(compared: DataFrame) -> DataFrame:
     """Pairs of which one has lost more than it has gained and the other isn't similar to the reference.
 
     Together they share at least as many values gained or lost as the larger need of both, so they are listed under
-    their rarest of either kind. A core keeps what most members have, so few have lost more.
+    their rarest of either kind; a pair counts where what both still have behind the shared value is enough
+    for it. A core keeps what most members have, so few have lost more.
     """
-    shrunk = F.size("lost") > F.size("gained")
+    top, whole = LINKS_FROM.numerator, LINKS_FROM.denominator
     lost = F.transform("lost", lambda v: F.xxhash64(v, F.lit("lost")))
-    all_ = F.size("gained") + F.size("lost")
-    rows = compared.select(*_MEMBER, shrunk.alias("shrunk"), (all_ - _needed() + 1).alias("take"), all_.alias("all"), F.explode(F.concat("gained", lost)).alias("value"))
-    listed = _rarest(rows.where("shrunk OR NOT settled"))
-    x, y = listed.where("shrunk").alias("x"), listed.where("NOT settled").alias("y")
+    g, h = F.size("gained"), F.size("lost")
+    rows = compared.select(
+        *_MEMBER,
+        g.alias("g"),
+        h.alias("h"),
+        F.col("reference_n").alias("r"),
+        (g + h - _needed() + 1).alias("take"),
+        (g + h).alias("all"),
+        F.explode(F.concat("gained", lost)).alias("value"),
+    )
+    listed = _rarest(rows.where("h > g OR NOT settled"))
+    x, y = listed.where("h > g").alias("x"), listed.where("NOT settled").alias("y")
+    both = lambda c: F.col(f"x.{c}") + F.col(f"y.{c}")
+    need = top * (F.col("x.r") + both("g")) - whole * (F.col("x.r") - both("h"))
+    enough = (top + whole) * F.least("x.left", "y.left") >= need
     close = (F.col("x.node") != F.col("y.node")) & _similar_size(F.col("x.n"), F.col("y.n"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close)
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close & enough)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def find_links(texts: DataFrame, classes: DataFrame) -> DataFrame:
