@@ -55,15 +55,30 @@ _KNOWN = _Features()
 
 def _count(batches: Batches) -> Batches:
     """(feature, docs, toxic): in how many documents a feature is, and in how many toxic ones."""
+    held: list[tuple] = []
+    size = 0
     for batch in batches:
-        labels = batch.column("label").to_pylist()
-        own = [np.fromiter({f for w in set(_WORD.findall(t.lower())) for f in _KNOWN[w]}, np.int64) for t in strings(batch)]
-        if not own:
-            continue
-        found, where = np.unique(np.concatenate(own), return_inverse=True)
-        marks = np.repeat(np.array(labels, np.int64), [len(o) for o in own])
-        toxic = np.bincount(where, marks, len(found)).astype(np.int64)
-        yield as_batch({"feature": found, "docs": np.bincount(where, minlength=len(found)).astype(np.int64), "toxic": toxic})
+        # Some hundred documents at a time bound the memory.
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            own = [np.fromiter({f for w in set(_WORD.findall(t.lower())) for f in _KNOWN[w]}, np.int64) for t in strings(part)]
+            marks = np.repeat(part.column("label").to_numpy().astype(np.int64), [len(o) for o in own])
+            held.append(_added([(np.concatenate(own), np.ones(len(marks), np.int64), marks)]))
+            size += len(held[-1][0])
+            if size > 1_000_000:
+                held = [_added(held)]
+                size = len(held[0][0])
+                if size > 500_000:
+                    yield as_batch(dict(zip(("feature", "docs", "toxic"), held.pop())))
+                    size = 0
+    if held:
+        yield as_batch(dict(zip(("feature", "docs", "toxic"), _added(held))))
+
+
+def _added(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    sums = (np.bincount(where, np.concatenate([p[i] for p in parts]), len(found)).astype(np.int64) for i in (1, 2))
+    return (found, *sums)
 
 
 def _select(sample: DataFrame, n: int, positive: int) -> list[int]:
