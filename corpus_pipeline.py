@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hourgrid.llm import bpe, line_dedup, near_dup, tiling, toxicity
-from hourgrid.llm.common import remainder, vocabulary_path
+from hourgrid.llm.common import vocabulary_path
 from hourgrid.sources.scratch import store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,10 +16,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels outside the held-out quarter, doesn't reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("label")).where(remainder() != 2)
-    model = toxicity.fit(docs.select("doc_id", "text").join(marks, "doc_id"))
-    return toxicity.drop_toxic(docs, model)
+    labels = toxicity.labels_to_learn(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +34,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each document."""
-    ranks = vocabulary_path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN), ranks)
-    return bpe.digests(decoded, "ids")
+    return bpe.round_trip(docs, vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [

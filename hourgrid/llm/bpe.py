@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -10,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from hourgrid.llm.common import CACHE_ENTRIES, map_rows, strings
 
@@ -164,12 +164,21 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 
-def digests(decoded: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) and the named columns."""
-    return decoded.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("data", 256).alias("decoded_sha256"),
-        *more,
-    )
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the ids of every whole text, and what they decode to,
+    in one pass. Rows and texts are treated as in ``encode_documents``.
+    """
+
+    def both(batch: pa.RecordBatch) -> dict:
+        encode, decode = _encoder(ranks_path, pattern), _decoder(ranks_path)
+        ids = list(map(encode, strings(batch)))
+        return {
+            "doc_id": batch.column("doc_id"),
+            "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
+            "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
+            "decoded_sha256": [hashlib.sha256(decode(i)).hexdigest() for i in ids],
+            "ids": pa.array(ids, pa.binary()),
+        }
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
+    return map_rows(docs.selectExpr("CAST(doc_id AS bigint) doc_id", "text"), both, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import public_tokenizers
 from hourgrid.llm import bpe, fingerprint, langid, line_dedup, near_dup, tiling, token_counts, token_files, toxicity, twins, url_reputation
 from hourgrid.llm.common import remainder, vocabulary_path
 from hourgrid.llm.url_reputation import Rule
@@ -56,10 +57,8 @@ def op4_rans_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    import public_tokenizers
-
     ranks = vocabulary_path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.decode_documents(bpe.encode_documents(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+    return bpe.round_trip(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN).drop("ids")
 
 
 def op6_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,14 +68,8 @@ def op6_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    scored = toxicity.score_documents(docs, toxicity.fit(training_labels(docs, table(spark, sf, "labels"))))
-    return scored.withColumn("held_out", F.coalesce(remainder() == 2, F.lit(False)))
-
-
-def training_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents that may be learned from; a document labelled twice is toxic if one label says so."""
-    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.select("doc_id", "text").join(marks.where(remainder() != 2), "doc_id")
+    model = toxicity.fit(docs, toxicity.labels_to_learn(table(spark, sf, "labels")))
+    return toxicity.score_documents(docs, model).withColumn("held_out", F.coalesce(remainder() == 2, F.lit(False)))
 
 
 def op8_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import CACHE_ENTRIES, Batches, as_batch, strings
+from hourgrid.llm.common import CACHE_ENTRIES, Batches, as_batch, remainder, strings
 from hourgrid.sources.scratch import store
 
 # Features of which the fit takes note: the most telling ones of the sample, each in so many documents at least.
@@ -35,15 +35,15 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text) if m.end() > m.start()] or [(0, 0)]
 
 
-def features(word: str) -> list[int]:
+def features(word: str) -> tuple[int, ...]:
     """Hashed features of a lower-case word: itself and its first four and five letters."""
     parts = (f"w{word}", f"4{word[:4]}", f"5{word[:5]}")
     hashed = (hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8).digest() for p in parts)
-    return [int.from_bytes(h, "little", signed=True) for h in hashed]
+    return tuple(int.from_bytes(h, "little", signed=True) for h in hashed)
 
 
 class _Features(dict):
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         found = self[word] = features(word)
@@ -162,18 +162,24 @@ def _step(weights: np.ndarray, bias: float):
     return run
 
 
-def fit(labelled: DataFrame) -> Model:
-    """Fit to (doc_id, text, label) rows; a null label teaches nothing, a null text is empty.
+def labels_to_learn(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) without the held-out quarter; a document labelled twice is toxic if one label says so."""
+    marks = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    return marks.where("label IS NOT NULL").where(remainder() != 2)
 
-    The sample of at most SAMPLE_DOCUMENTS rows is stored as SAMPLE_FILES files. Features are counted over it, and the
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit to documents (doc_id, text) with the labels (doc_id, label); a null text is empty.
+
+    At most SAMPLE_DOCUMENTS labels are drawn; so few rows are sent to the documents, which stay where they are.
+    The sample is stored as SAMPLE_FILES files. Features are counted over it, and the
     most telling MAX_FEATURES kept. Each round is a Spark job over the documents' bags of features that returns one
     gradient a file; the driver takes the (Adam) step. Without a toxic or without a clean row the score is
     the label's share for all texts.
     """
-    rows = labelled.where("label IS NOT NULL")
-    drawn = rows.select("doc_id", "label", F.xxhash64("doc_id").alias("_draw")).orderBy("_draw", "doc_id", "label").limit(SAMPLE_DOCUMENTS)
+    drawn = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
     picked = store(drawn.select("doc_id", "label"), "toxicity-sample")
-    texts = rows.select("doc_id", "text").join(picked, "doc_id").select("text", F.col("label").cast("int"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label")
     sample = store(texts.repartition(SAMPLE_FILES), "toxicity-texts")
     n, positive = sample.agg(F.count("*"), F.sum("label")).first()
     if not positive or positive == n:
