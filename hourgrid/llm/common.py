@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-CACHE_ENTRIES = 300_000
+# What a Python worker remembers of each kind; workers are used again by later stages.
+CACHE_ENTRIES = 100_000
 
 Batches = Iterator[pa.RecordBatch]
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import CACHE_ENTRIES, LOWER, Batches, as_batch, strings
+from hourgrid.llm.common import LOWER, Batches, as_batch, strings
 from hourgrid.sources.scratch import store
 
 BITS = 20
@@ -128,6 +128,7 @@ def decode_block(payload: bytes, frequency: np.ndarray, start: int = 0, stop: in
 # Marks that close a word; after a letter and before white space each is a match by itself.
 _CLOSING = ".,;:!?"
 _JOINED = 50
+CACHE_ENTRIES = 300_000
 
 
 # Separators to str.split, but not to the tokenizer.
