@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -12,22 +13,23 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hourgrid.llm.common import CACHE_ENTRIES, map_rows, strings
+from hourgrid.llm.common import map_rows, strings
 
 KEPT_PIECE = 64
+CACHE_ENTRIES = 300_000
 
 
 class RankQueue:
-    """Positions by merge rank. Three levels of 64-bit words say which ranks have positions; the lowest set
-    bit of each level leads to the next rank. Positions of a rank leave from left to right.
+    """Positions by merge rank. A bitmap says which ranks have positions, 64 to a word, and a wider word above
+    it which of those words are not empty; the lowest set bit of each leads to the next rank. Positions of a
+    rank leave from left to right.
     """
 
-    __slots__ = ("buckets", "low", "middle", "top")
+    __slots__ = ("buckets", "top", "words")
 
     def __init__(self) -> None:
         self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.middle: dict[int, int] = {}
+        self.words: dict[int, int] = {}
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
@@ -36,28 +38,26 @@ class RankQueue:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.middle[b] = self.middle.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
+        above = rank >> 6
+        self.words[above] = self.words.get(above, 0) | 1 << (rank & 63)
+        self.top |= 1 << above
 
     def pop(self) -> tuple[int, int] | None:
-        if not self.top:
+        top = self.top
+        if not top:
             return None
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.middle[b]
-        a = b << 6 | (word & -word).bit_length() - 1
-        word = self.low[a]
-        rank = a << 6 | (word & -word).bit_length() - 1
+        above = (top & -top).bit_length() - 1
+        word = self.words[above]
+        low = word & -word
+        rank = above << 6 | low.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[a] ^= 1 << (rank & 63)
-            if not self.low[a]:
-                self.middle[b] ^= 1 << (a & 63)
-                if not self.middle[b]:
-                    self.top ^= 1 << b
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        word ^= low
+        self.words[above] = word
+        if not word:
+            self.top = top & (top - 1)
+        return rank, bucket.pop()
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -71,19 +71,14 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n = len(piece)
     after, before, waiting = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-    queue = RankQueue()
-
-    def enqueue(at: int) -> None:
-        middle = after[at]
-        rank = ranks.get(piece[at : after[middle]], -1) if middle < n else -1
-        if rank != waiting[at]:
-            waiting[at] = rank
-            if rank >= 0:
-                queue.push(rank, at)
-
+    queue, find = RankQueue(), ranks.get
+    push, pop = queue.push, queue.pop
     for at in range(n - 1):
-        enqueue(at)
-    while (entry := queue.pop()) is not None:
+        rank = find(piece[at : at + 2])
+        if rank is not None:
+            waiting[at] = rank
+            push(rank, at)
+    while (entry := pop()) is not None:
         rank, at = entry
         if waiting[at] != rank:
             continue
@@ -92,9 +87,18 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         waiting[gone] = waiting[at] = -1
         if end < n:
             before[end] = at
-        enqueue(at)
-        if before[at] >= 0:
-            enqueue(before[at])
+            rank = find(piece[at : after[end]])
+            if rank is not None:
+                waiting[at] = rank
+                push(rank, at)
+        left = before[at]
+        if left >= 0:
+            rank = find(piece[left:end])
+            if rank is None:
+                waiting[left] = -1
+            elif rank != waiting[left]:
+                waiting[left] = rank
+                push(rank, left)
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : after[at]]])
@@ -110,7 +114,7 @@ class PieceIds(dict):
         self.ranks = ranks
 
     def __missing__(self, piece: str) -> bytes:
-        found = np.array(merge_piece(piece.encode("utf-8"), self.ranks), "<u4").tobytes()
+        found = array("I", merge_piece(piece.encode("utf-8"), self.ranks)).tobytes()
         if len(piece) <= KEPT_PIECE:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
