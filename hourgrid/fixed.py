@@ -45,8 +45,6 @@ DAY_NAMES = [
     "Saturday",
     "Sunday",
 ]
-DAY_LAG = 24
-WEEK_LAG = 168
 
 # The order of load rows: hour label first, then the numbering of repeated labels.
 HOUR_KEY = ["load_date", "hour_ending"]

@@ -57,7 +57,7 @@ def load_threshold(
 
 
 def top_load_rows(df: DataFrame, load: str, fraction: float = 0.95) -> DataFrame:
-    """Rows at or above the quantile; the threshold is a literal, so a reader can skip row groups."""
+    """Rows at or above the quantile."""
     return df.where(F.col(load) >= F.lit(load_threshold(df, load, fraction)))
 
 

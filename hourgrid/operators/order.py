@@ -55,6 +55,13 @@ def range_positions(df: DataFrame, order: Sequence[str], name: str = "row_ix") -
     )
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join in which a NULL key equals a NULL key, as it does in a window's partition."""
+    named = right.select(*[F.col(c).alias(f"_key_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys]
+    return left.join(named, same, how).drop(*[f"_key_{c}" for c in keys])
+
+
 def number_repeated_hours(
     df: DataFrame,
     key: Sequence[str] = HOUR_KEY,
@@ -64,26 +71,38 @@ def number_repeated_hours(
 ) -> DataFrame:
     """``hour_instance`` and ``records_at_hour_label`` of rows that share an hour label.
 
-    The territory loads behind the system load make the order total up to exact copies. One
-    exchange serves both columns while every label fits into a task, which a count per label checks
-    first. ``labels`` may name a cheaper source for that count with at least the labels of ``df``.
+    The territory loads behind the system load make the order total up to exact copies, and the stage comes
+    last where there is one. One exchange serves both columns of all labels that fit into a task, which a
+    count per label checks first; only larger labels are numbered by a range sort. A NULL in a key is a
+    label like any other. ``labels`` may name a cheaper source for that count with at least the labels of ``df``.
     """
+    if "source_stage" in df.columns and "source_stage" not in order:
+        order = [*order, "source_stage"]
     counts = (df if labels is None else labels).groupBy(*key).count()
-    largest = counts.agg(F.max("count")).first()[0]
-    if largest is None or largest <= group_rows:
-        label = W.partitionBy(*key)
-        return df.withColumns(
-            {
-                "hour_instance": F.row_number().over(label.orderBy(*order)),
-                "records_at_hour_label": F.count("*").over(label),
-            }
-        )
+    hot = store(counts.where(F.col("count") > group_rows).select(*key), "hot-labels")
+    if hot.isEmpty():
+        return _numbered_by_window(df, key, order)
+    plain = _numbered_by_window(join_on_keys(df, hot, key, "left_anti"), key, order)
+    return plain.unionByName(_numbered_by_sort(join_on_keys(df, hot, key, "left_semi"), key, order))
+
+
+def _numbered_by_window(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    label = W.partitionBy(*key)
+    return df.withColumns(
+        {
+            "hour_instance": F.row_number().over(label.orderBy(*order)),
+            "records_at_hour_label": F.count("*").over(label),
+        }
+    )
+
+
+def _numbered_by_sort(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     placed = range_positions(df, [*key, *order], "_position")
     firsts = placed.groupBy(*key).agg(
         F.min("_position").alias("_first"), F.count("*").alias("records_at_hour_label")
     )
     instance = (F.col("_position") - F.col("_first") + 1).cast("int")
-    numbered = placed.join(store(firsts, "firsts"), list(key)).withColumn("hour_instance", instance)
+    numbered = join_on_keys(placed, store(firsts, "firsts"), key).withColumn("hour_instance", instance)
     return numbered.select(*df.columns, "hour_instance", "records_at_hour_label")
 
 
@@ -100,7 +119,7 @@ def label_offsets(df: DataFrame, key: Sequence[str] = HOUR_KEY) -> DataFrame:
     days = days.withColumn("_before_day", F.coalesce(F.sum("hours_in_load_date").over(earlier), F.lit(0)))
     in_day = W.partitionBy(day).orderBy(hour).rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_before_day") + F.coalesce(F.sum("_rows").over(in_day), F.lit(0))
-    offsets = labels.join(days, day).select(day, hour, before.alias("_offset"), "hours_in_load_date")
+    offsets = join_on_keys(labels, days, [day]).select(day, hour, before.alias("_offset"), "hours_in_load_date")
     return store(offsets, "label_offsets")
 
 
@@ -109,7 +128,7 @@ def add_position(df: DataFrame, name: str = "row_ix") -> DataFrame:
 
     ``df`` carries ``hour_instance`` as numbered over all of its rows.
     """
-    placed = df.join(label_offsets(df), HOUR_KEY)
+    placed = join_on_keys(df, label_offsets(df), HOUR_KEY)
     position = F.col("_offset") + F.col("hour_instance") - 1
     return placed.select(*df.columns, position.alias(name), "hours_in_load_date")
 
@@ -117,7 +136,7 @@ def add_position(df: DataFrame, name: str = "row_ix") -> DataFrame:
 def add_hours_in_day(df: DataFrame, day: str = "load_date") -> DataFrame:
     """Rows per day, joined on rather than windowed, so a large day is not gathered."""
     sizes = store(df.groupBy(day).agg(F.count("*").alias("hours_in_load_date")), "day_sizes")
-    return df.join(sizes, day).select(*df.columns, "hours_in_load_date")
+    return join_on_keys(df, sizes, [day]).select(*df.columns, "hours_in_load_date")
 
 
 def with_halo(df: DataFrame, reach: int, span: int, position: str) -> DataFrame:
@@ -164,6 +183,6 @@ def add_seasonal_differences(df: DataFrame, column: str, hours: Sequence[int] =
 
 
 def duplicate_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """All rows whose key occurs more than once."""
+    """All rows whose key occurs more than once, by key; NULL counts as a value."""
     repeated = df.groupBy(*key).agg(F.count("*").alias("_rows")).where("_rows > 1").select(*key)
-    return df.join(repeated, list(key), "left_semi")
+    return join_on_keys(df, repeated, key, "left_semi").orderBy(*key)

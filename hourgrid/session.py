@@ -16,10 +16,13 @@ SETTINGS = {
 
 
 def build_session(app: str = "hourgrid", **settings: str) -> SparkSession:
-    """A session with SETTINGS, overridden by keyword (dots as double underscores)."""
+    """A session with SETTINGS where the cluster sets nothing, overridden by keyword (dots as double underscores)."""
     builder = SparkSession.builder.appName(app)
-    for key, value in SETTINGS.items():
-        builder = builder.config(key, value)
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in SETTINGS.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+    return spark

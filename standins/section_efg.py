@@ -89,16 +89,17 @@ def rolling_30_partial(spark, sf):
     return rolled.select("source_stage", "load_date", "average_load_mw", F.round("rolling", 8).alias("rolling"))
 
 
-@register(
-    "e07_rolling_30_full",
-    sql.readings(
-        _ROLLING.format(mean="CASE WHEN COUNT(*) OVER w = 30 THEN AVG(average_load_mw) OVER w END", part="")
-    ),
-)
+_BY_DATE = f"""SELECT load_date, average_load_mw,
+  ROUND(CASE WHEN COUNT(*) OVER w = 30 THEN AVG(average_load_mw) OVER w END, 8) AS rolling
+FROM (SELECT load_date, {sql.mean("caiso_mw")} AS average_load_mw FROM r_rows GROUP BY 1)
+WINDOW w AS (ORDER BY load_date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""
+
+
+@register("e07_rolling_30_full", sql.readings(_BY_DATE))
 def rolling_30_full(spark, sf):
-    daily = summary.daily_summary(inputs.readings(spark, sf))
+    daily = summary.mean_by(inputs.readings(spark, sf), ["load_date"], name="average_load_mw")
     rolled = summary.add_rolling_mean(daily, "average_load_mw", "rolling", full_only=True)
-    return rolled.select("source_stage", "load_date", "average_load_mw", F.round("rolling", 8).alias("rolling"))
+    return rolled.select("load_date", "average_load_mw", F.round("rolling", 8).alias("rolling"))
 
 
 @register(
