@@ -13,10 +13,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hourgrid.llm.common import map_rows, strings
+from hourgrid.llm.common import CACHE_ENTRIES, map_rows, strings
 
 KEPT_PIECE = 64
-CACHE_ENTRIES = 300_000
 
 
 class RankQueue:
@@ -109,14 +108,14 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class PieceIds(dict):
     """Ids of short pre-tokens as little-endian 32-bit bytes, kept for those seen lately."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], entries: int):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.entries = ranks, entries
 
     def __missing__(self, piece: str) -> bytes:
         found = array("I", merge_piece(piece.encode("utf-8"), self.ranks)).tobytes()
         if len(piece) <= KEPT_PIECE:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.clear()
             self[piece] = found
         return found
@@ -129,8 +128,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def _encoder(path: str, pattern: str):
-    pieces, cache = regex.compile(pattern), PieceIds(read_ranks(path))
+def _encoder(path: str, pattern: str, entries: int = CACHE_ENTRIES):
+    pieces, cache = regex.compile(pattern), PieceIds(read_ranks(path), entries)
     return lambda text: b"".join(map(cache.__getitem__, pieces.findall(text)))
 
 
@@ -168,13 +167,14 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, remembered: int = CACHE_ENTRIES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the ids of every whole text, and what they decode to,
-    in one pass. Rows and texts are treated as in ``encode_documents``.
+    in one pass. Rows and texts are treated as in ``encode_documents``. A Python worker keeps the ids of
+    ``remembered`` pre-tokens, some 200 bytes each.
     """
 
     def both(batch: pa.RecordBatch) -> dict:
-        encode, decode = _encoder(ranks_path, pattern), _decoder(ranks_path)
+        encode, decode = _encoder(ranks_path, pattern, remembered), _decoder(ranks_path)
         ids = list(map(encode, strings(batch)))
         return {
             "doc_id": batch.column("doc_id"),
