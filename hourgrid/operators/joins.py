@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,17 @@ def cities_side_by_side(readings: DataFrame, cities: Sequence[str]) -> DataFrame
     return readings.groupBy("timestamp").agg(*columns)
 
 
+def cities_outer_joined(readings: DataFrame, cities: Sequence[str]) -> DataFrame:
+    """The cities outer-joined one by one: no reading is lost, and repeated ones of a city and timestamp
+    give a row each, which ``order.duplicate_rows`` lists. Takes a join for each city; see
+    ``cities_side_by_side`` for readings known to be unique.
+    """
+    columns = [
+        readings.where(F.col("city") == c).select("timestamp", F.col("temperature").alias(f"temp_{c}")) for c in cities
+    ]
+    return reduce(lambda left, right: left.join(right, "timestamp", "full_outer"), columns)
+
+
 def assign_by_key(df: DataFrame, values: DataFrame, key: str = "row_ix") -> DataFrame:
     """Write columns back to the rows with the same unique key; other rows get NULL."""
     return df.join(values, key, "left").select(*df.columns, *[c for c in values.columns if c != key])

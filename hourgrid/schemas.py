@@ -25,6 +25,8 @@ CLEAN_LOADS = T.StructType(
     ]
 )
 
+CLEAN_LOADS_TEXT = _text(CLEAN_LOADS.fieldNames())
+
 HOURLY_PAYLOAD = T.StructType(
     [
         T.StructField(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import types as T
 from hourgrid import schemas
 
 ANY_CASE_CSV = "*.[cC][sS][vV]"
+FILE_NAME = r"([^/]+)$"
+MALFORMED = "malformed"
 
 
 def read_csv_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -49,6 +54,43 @@ def read_exports(
     return rows.withColumn("source_file", F.col("_metadata.file_name"))
 
 
+def read_mixed_exports(
+    spark: SparkSession, folder: str, pattern: str = ANY_CASE_CSV, file_pattern: str = FILE_NAME
+) -> DataFrame:
+    """Every export below a folder, whatever columns each has and however its header spells them.
+
+    Names are stripped and lower-cased, all values stay text, and a column that a file lacks is NULL there.
+    ``malformed`` is the line of a row with more or fewer values than its header, else NULL; ``source_file``
+    is the first group of ``file_pattern`` in the path. Files are read by header, which costs one more
+    pass over the text; empty ones have no rows.
+    """
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    lines = reader.text(folder).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    first = lines.where("start = 0 AND trim(value) <> ''").groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    if not groups:
+        raise ValueError(f"no export with a header below {folder}")
+    return stack_by_name([_read_by_header(spark, row.header, row.files, file_pattern) for row in groups])
+
+
+def _read_by_header(spark: SparkSession, header: str, files: Sequence[str], file_pattern: str) -> DataFrame:
+    spelled = next(csv.reader([header.removeprefix("\ufeff")]))
+    names = [name.strip().lower() or f"unnamed_{i}" for i, name in enumerate(spelled)]
+    if len(set(names)) < len(names):
+        raise ValueError(f"a header names a column twice: {header}")
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, MALFORMED]])
+    reader = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", MALFORMED)
+    # Paths are listed encoded, and read as patterns.
+    paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(file)) for file in files]
+    source = F.regexp_extract(F.col("_metadata.file_path"), file_pattern, 1)
+    return reader.csv(paths).withColumn("source_file", source)
+
+
 def stack_by_name(tables: Sequence[DataFrame]) -> DataFrame:
     """All rows of all tables; a column that one table lacks is NULL there."""
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), tables)

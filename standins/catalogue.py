@@ -8,6 +8,7 @@ from standins import (  # noqa: F401
     section_c,
     section_d,
     section_efg,
+    section_files,
     section_h,
     section_i,
     section_j,

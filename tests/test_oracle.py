@@ -32,6 +32,8 @@ SAMPLE = [
     "j16_error_report",
     "k03_gold_features",
     "k06_gold_monthly_tou",
+    "k08_cleaned_exports",
+    "k09_weather_file",
 ]
 QUERIES, ORACLES = spark_entry.queries(), spark_entry.oracle_sql()
 CHOSEN = sorted(ORACLES) if os.environ.get("HOURGRID_ALL") else SAMPLE
