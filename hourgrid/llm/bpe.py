@@ -13,7 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hourgrid.llm.common import CACHE_ENTRIES, map_rows, strings
+from hourgrid.llm.common import CACHE_ENTRIES, map_rows, remember_in, strings
 
 KEPT_PIECE = 64
 
@@ -130,7 +130,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 @lru_cache(2)
 def _encoder(path: str, pattern: str, entries: int = CACHE_ENTRIES):
     pieces, cache = regex.compile(pattern), PieceIds(read_ranks(path), entries)
-    return lambda text: b"".join(map(cache.__getitem__, pieces.findall(text)))
+
+    def encode(text: str) -> bytes:
+        remember_in(cache)
+        return b"".join(map(cache.__getitem__, pieces.findall(text)))
+
+    return encode
 
 
 @lru_cache(2)

@@ -18,6 +18,20 @@ CACHE_ENTRIES = 100_000
 
 Batches = Iterator[pa.RecordBatch]
 
+_in_use: dict | None = None
+
+
+def remember_in(cache: dict | None) -> None:
+    """Say what this worker remembers things in from now on. What another operator has left there is emptied, so
+    a worker that serves one stage after another holds one such table at a time.
+    """
+    global _in_use
+    if _in_use is not cache:
+        if _in_use is not None:
+            _in_use.clear()
+            pa.default_memory_pool().release_unused()
+        _in_use = cache
+
 
 def vocabulary_path(name: str) -> str:
     """The place of a public vocabulary file; the same package is installed on driver and executors."""
@@ -97,6 +111,7 @@ class WordHashes(dict):
 
     def of(self, text: str) -> np.ndarray:
         """Hashes of the words of a text, A-Z lower-cased."""
+        remember_in(self)
         words = WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER))
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

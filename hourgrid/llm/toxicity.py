@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import CACHE_ENTRIES, Batches, as_batch, remainder, strings
+from hourgrid.llm.common import CACHE_ENTRIES, Batches, as_batch, remainder, remember_in, strings
 from hourgrid.sources.scratch import store
 
 # Features of which the fit takes note: the most telling ones of the sample, each in so many documents at least.
@@ -55,6 +55,7 @@ _KNOWN = _Features()
 
 def _count(batches: Batches) -> Batches:
     """(feature, docs, toxic): in how many documents a feature is, and in how many toxic ones."""
+    remember_in(_KNOWN)
     held: list[tuple] = []
     size = 0
     for batch in batches:
@@ -65,10 +66,10 @@ def _count(batches: Batches) -> Batches:
             marks = np.repeat(part.column("label").to_numpy().astype(np.int64), [len(o) for o in own])
             held.append(_added([(np.concatenate(own), np.ones(len(marks), np.int64), marks)]))
             size += len(held[-1][0])
-            if size > 1_000_000:
+            if size > 500_000:
                 held = [_added(held)]
                 size = len(held[0][0])
-                if size > 500_000:
+                if size > 250_000:
                     yield as_batch(dict(zip(("feature", "docs", "toxic"), held.pop())))
                     size = 0
     if held:
@@ -97,6 +98,7 @@ def _bags(chosen: list[int]):
     def run(batches: Batches) -> Batches:
         """(label, ids, ends): the chosen features of a document and where each sentence's end."""
         known: dict[str, list[int]] = {}
+        remember_in(known)
         for batch in batches:
             bags, ends = [], []
             for text in strings(batch):
@@ -237,6 +239,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         scores = _Scores(shared.value.weights)
+        remember_in(scores)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -264,6 +267,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         scores = _Scores(shared.value.weights)
+        remember_in(scores)
         for batch in batches:
             kept = [judge(t, scores, shared.value.bias)[0] < THRESHOLD for t in strings(batch)]
             yield batch.filter(pa.array(kept, pa.bool_()))
