@@ -71,17 +71,22 @@ def _exact_room(n: Column) -> Column:
     return n - F.ceil(n * LINKS_FROM.numerator / F.lit(LINKS_FROM.denominator) - 1e-9)
 
 
+def _cut_off(n: Column) -> Column:
+    """How many values the sketch of the largest set linked to one of this size lacks; such a set holds all of the smaller."""
+    return F.floor(n * LINKS_FROM.denominator / F.lit(LINKS_FROM.numerator) + 1e-9) - SKETCH
+
+
 def inverted_lists(classes: DataFrame) -> DataFrame:
     """(key, node, n, rare): under which retained values a class is listed.
 
     The values of a sketch are taken from the rarest on, so many that two linked classes, which share SHARED
-    retained values (or, when the sketch is the whole set, what the threshold demands), have a listed one
-    in common. Frequent passages are thus listed only by documents that hold little else. ``rare`` counts
+    retained values (or, when the sketch is the whole set, what the threshold demands, less what the sketch of
+    a larger partner lacks), have a listed one in common. Frequent passages are thus listed only by documents that hold little else. ``rare`` counts
     the values that no other sketch has.
     """
     values = classes.select("node", "n", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("owners")).where("owners > 1")
-    taken = F.when(F.col("n") <= SKETCH, _exact_room(F.col("n")) + 1).otherwise(SKETCH - SHARED + 1)
+    taken = F.when(F.col("n") <= SKETCH, F.greatest(_exact_room(F.col("n")), _cut_off(F.col("n"))) + 1).otherwise(SKETCH - SHARED + 1)
     grouped = values.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("owners", "value"))).alias("found"))
     grouped = grouped.withColumn("rare", F.least("n", F.lit(SKETCH)) - F.size("found"))
     keep = F.greatest(taken - F.col("rare"), F.lit(0)).cast("int")

@@ -185,6 +185,26 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, short):
     assert found == sorted(((i, n, c, c == i) for i, (c, n) in enumerate(zip(expected, sizes))), key=str)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_links_of_whole_sketches_to_larger_sets(spark, seed):
+    """Texts of 32 or 33 shingles and longer copies of each; only the first words are shared."""
+    draw, texts = np.random.default_rng(seed), []
+    for k in range(120):
+        base = [f"d{seed}k{k}w{i}" for i in range(36 + int(draw.integers(0, 2)))]
+        texts += [" ".join(base), " ".join(base + [f"d{seed}k{k}x{i}" for i in range(5 - k % 3)])]
+    # The five highest values are the shorter text's, so the longer one's sketch lacks them.
+    worst = 0
+    while worst < 3:
+        words = [f"s{seed}v{draw.integers(1 << 40)}" for _ in range(41)]
+        values = near_dup.shingles(near_dup._WORDS.of(" ".join(words)), near_dup.WIDTH)
+        if (np.argsort(values)[-5:] < 32).all():
+            texts += [" ".join(words[:36]), " ".join(words)]
+            worst += 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = rows(near_dup.near_duplicates(docs), "doc_id", "component_id")
+    assert found == sorted(enumerate(brute_components(texts)[0]), key=str)
+
+
 def test_near_duplicates_of_awkward_rows(docs, nothing):
     kept = near_dup.keep_representatives(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
