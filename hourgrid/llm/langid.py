@@ -14,9 +14,11 @@ from hourgrid.llm.common import Batches, as_batch, mix, strings
 from hourgrid.sources.scratch import store
 
 WIDTH = 4
+# A filter has 2^SLOT_BITS slots, or as many more as keep three quarters of them free of a language's n-grams.
 SLOT_BITS = 20
+MOST_FILLED = 0.25
 HASHES = 3
-MAX_LANGUAGES = 64
+_CHUNK = 1 << 16
 # An n-gram belongs to a language if its rate there is at least this part of its highest rate.
 RATE_PART = 0.25
 UNDETERMINED = "und"
@@ -101,12 +103,21 @@ def _portions(texts: list[str], chars: int = 1_000_000):
 
 
 @dataclass
-class Filters:
-    """``masks[slot]`` has a bit for each language; the n-gram's slots are and-ed."""
+class Part:
+    """``masks[slot]`` has a bit for each of the languages at ``places``, of 2^bits slots; the n-gram's slots are and-ed."""
 
-    languages: list[str]
+    places: list[int]
+    bits: int
     masks: np.ndarray
     false_rate: np.ndarray
+
+
+@dataclass
+class Filters:
+    """Languages whose filters have the same size share parts, as many as a mask has bits for."""
+
+    languages: list[str]
+    parts: list[Part]
     fallback: str | None
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -114,15 +125,16 @@ class Filters:
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         grams, owner, has_letter = ngrams(texts)
-        found = np.full(len(grams), np.uint64(2**64 - 1))
-        for i in range(HASHES):
-            found &= self.masks[slots_of(grams, i)]
         total = np.bincount(owner, minlength=len(texts)).astype(np.float64)
         hits = np.empty((len(texts), len(self.languages)))
-        for i, rate in enumerate(self.false_rate):
-            own = (found >> np.uint64(i)) & np.uint64(1)
-            hits[:, i] = np.bincount(owner, own.astype(np.float64), len(texts))
-            hits[:, i] = np.maximum(hits[:, i] - rate * total, 0) / max(1e-9, 1 - rate)
+        for part in self.parts:
+            found = part.masks[slots_of(grams, 0, part.bits)]
+            for i in range(1, HASHES):
+                found &= part.masks[slots_of(grams, i, part.bits)]
+            for i, (place, rate) in enumerate(zip(part.places, part.false_rate)):
+                own = (found >> found.dtype.type(i)) & found.dtype.type(1)
+                hits[:, place] = np.bincount(owner, own.astype(np.float64), len(texts))
+                hits[:, place] = np.maximum(hits[:, place] - rate * total, 0) / max(1e-9, 1 - rate)
         best, sums = hits.argmax(1), hits.sum(1)
         score = np.divide(hits[np.arange(len(texts)), best], sums, out=np.zeros(len(texts)), where=sums > 0)
         names = [
@@ -132,42 +144,83 @@ class Filters:
         return names, np.where(has_letter, score, 0.0)
 
 
-def slots_of(grams: np.ndarray, i: int) -> np.ndarray:
+def _step(bits: int) -> int:
+    """From one slot's part of the 64-bit hash to the next one's; the parts of large filters overlap."""
+    return min(bits, (64 - bits) // (HASHES - 1))
+
+
+def slots_of(grams: np.ndarray, i: int, bits: int) -> np.ndarray:
     """The i-th slot: another part of the 64-bit hash."""
-    return (grams >> np.uint64(i * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)
+    return (grams >> np.uint64(i * _step(bits))) & np.uint64((1 << bits) - 1)
+
+
+def _bits_for(grams: int) -> int:
+    return max(SLOT_BITS, int(np.ceil(np.log2(max(1, grams) * HASHES / MOST_FILLED))))
+
+
+def _mask_type(languages: int) -> type:
+    return next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= languages)
+
+
+def _packed(kinds: list[type]):
+    def run(batches: Batches) -> Batches:
+        """The masks of each run of _CHUNK slots as bytes."""
+        for batch in batches:
+            numbers, packed = batch.column("part").to_pylist(), []
+            for number, entries in zip(numbers, batch.column("entries")):
+                masks = np.zeros(_CHUNK, np.uint64)
+                slots, found = (np.asarray(entries.values.field(c), np.int64) for c in ("slot", "mask"))
+                masks[slots % _CHUNK] = found.view(np.uint64)
+                packed.append(masks.astype(kinds[number]).tobytes())
+            yield as_batch({"part": batch.column("part"), "chunk": batch.column("chunk"), "masks": pa.array(packed, pa.binary())})
+
+    return run
 
 
 def learn(training: DataFrame) -> Filters:
     """Filters from (text, lang) rows; rows with a null text or language teach nothing.
 
-    Counts cover all rows. The driver gets one mask a slot, 2^SLOT_BITS at most, and one row a language;
-    the MAX_LANGUAGES most frequent in n-grams are learned, as many as a mask has bits.
+    Counts cover all rows, and every language is learned. The driver gets one row a language, and the filters: 2^SLOT_BITS
+    slots, or for a language of more n-grams HASHES / MOST_FILLED slots an n-gram, up to the next power of two.
     """
     rows = training.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     counted = rows.mapInArrow(_count, "lang string, gram long, n long")
     grams = store(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
-    totals = grams.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES)
-    found = [(r["lang"], r["total"]) for r in totals.collect()]
-    languages = sorted(lang for lang, _ in found)
+    totals = grams.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("grams")).orderBy(F.desc("total"), "lang")
+    found = totals.collect()
+    languages = sorted(r["lang"] for r in found)
     if not languages:
-        return Filters([], np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(0), None)
-    size = F.element_at(F.create_map(*[F.lit(x) for pair in found for x in (pair[0], float(pair[1]))]), F.col("lang"))
-    bit = F.element_at(F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)]), F.col("lang"))
-    rated = grams.where(F.col("lang").isin(languages)).withColumn("rate", F.col("n") / size)
+        return Filters([], [], None)
+    place = {lang: i for i, lang in enumerate(languages)}
+    sized: dict[int, list[int]] = {}
+    for r in sorted(found, key=lambda r: r["lang"]):
+        sized.setdefault(_bits_for(r["grams"]), []).append(place[r["lang"]])
+    parts = [(bits, own[i : i + 64]) for bits, own in sorted(sized.items()) for i in range(0, len(own), 64)]
+    at = {p: (number, bits, i) for number, (bits, own) in enumerate(parts) for i, p in enumerate(own)}
+    named = [(r["lang"], float(r["total"]), *at[place[r["lang"]]], _step(at[place[r["lang"]]][1])) for r in found]
+    # One row a language.
+    known = F.broadcast(grams.sparkSession.createDataFrame(named, "lang string, size double, part int, bits int, bit int, step int"))
+    entry = F.struct((F.col("n") / F.col("size")).alias("rate"), "part", "bits", "bit", "step")
     # A gram has a row a language at most, so its group is bounded.
+    rated = grams.join(known, "lang").withColumn("entry", entry).groupBy("gram").agg(F.max("entry.rate").alias("top"), F.collect_list("entry").alias("rates"))
     owners = F.filter("rates", lambda r: r["rate"] >= F.col("top") * RATE_PART)
-    masks = (
-        rated.groupBy("gram")
-        .agg(F.max("rate").alias("top"), F.collect_list(F.struct("rate", bit.alias("bit"))).alias("rates"))
-        .select("gram", F.aggregate(owners, F.lit(0).cast("long"), lambda a, r: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), r["bit"]))).alias("mask"))
-    )
-    low = F.lit((1 << SLOT_BITS) - 1)
-    slot = F.explode(F.array(*[F.shiftrightunsigned("gram", i * SLOT_BITS).bitwiseAND(low) for i in range(HASHES)]))
-    sliced = masks.select("mask", slot.alias("slot")).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    table = np.zeros(1 << SLOT_BITS, np.uint64)
-    table[sliced["slot"].to_numpy(np.int64)] = sliced["mask"].to_numpy(np.int64).view(np.uint64)
-    filled = [float(((table >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))]
-    return Filters(languages, table, np.array(filled) ** HASHES, found[0][0])
+    owned = rated.select("gram", F.explode(owners).alias("owner")).select("gram", "owner.*")
+    one = F.lit(1).cast("long")
+    low = F.call_function("shiftleft", one, F.col("bits")) - 1
+    slot = F.explode(F.array(*[F.call_function("shiftrightunsigned", F.col("gram"), F.col("step") * i).bitwiseAND(low) for i in range(HASHES)]))
+    mask = F.bit_or(F.call_function("shiftleft", one, F.col("bit"))).alias("mask")
+    sliced = owned.select("part", "bit", slot.alias("slot")).groupBy("part", "slot").agg(mask)
+    # A chunk has an entry a slot at most.
+    chunks = sliced.groupBy("part", F.shiftright("slot", 16).alias("chunk")).agg(F.collect_list(F.struct("slot", "mask")).alias("entries"))
+    kinds = [_mask_type(len(own)) for _, own in parts]
+    tables = [np.zeros(1 << max(bits, 16), kind) for (bits, _), kind in zip(parts, kinds)]
+    for row in chunks.mapInArrow(_packed(kinds), "part int, chunk long, masks binary").toLocalIterator():
+        tables[row["part"]][row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["masks"], kinds[row["part"]])
+    built = []
+    for (bits, own), table in zip(parts, tables):
+        filled = [float(((table[: 1 << bits] >> table.dtype.type(i)) & table.dtype.type(1)).mean()) for i in range(len(own))]
+        built.append(Part(own, bits, table, np.array(filled) ** HASHES))
+    return Filters(languages, built, found[0]["lang"])
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
