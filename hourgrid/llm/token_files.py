@@ -135,10 +135,22 @@ CACHE_ENTRIES = 300_000
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
-def _split(text: str) -> list[str]:
-    """The white-space words, A-Z lower-cased."""
-    lower = text.encode("utf-8").translate(LOWER).decode("utf-8")
-    return [w for w in re.split("[ \t\n\r]+", lower) if w] if _CONTROL.search(lower) else lower.split()
+def _lower(text: str) -> str:
+    return text.encode("utf-8").translate(LOWER).decode("utf-8")
+
+
+def _words(text: str) -> list[str]:
+    return [w for w in re.split("[ \t\n\r]+", text) if w] if _CONTROL.search(text) else text.split()
+
+
+def _split(text: str, added: list[str]) -> list[str]:
+    """The white-space words, A-Z lower-cased, but for those that hold an added token in any case: such tokens are looked
+    for in the text as it is.
+    """
+    lower = _lower(text)
+    if not any(a in lower for a in added):
+        return _words(lower)
+    return [raw if any(a in low for a in added) else low for raw in _words(text) for low in [_lower(raw)]]
 
 
 class _WordIds(dict):
@@ -158,6 +170,7 @@ class _WordIds(dict):
         self.tokenizer.no_padding()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
+        self.added = [_lower(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
 
@@ -182,7 +195,7 @@ class _WordIds(dict):
             self[word] = np.array(ids, "<u4").tobytes()
 
     def of(self, texts: list[str]) -> list[bytes]:
-        words = [_split(t) for t in texts]
+        words = [_split(t, self.added) for t in texts]
         if len(self) > CACHE_ENTRIES:
             self.clear()
         new = set().union(*words).difference(self)
