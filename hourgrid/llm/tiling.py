@@ -66,17 +66,19 @@ def _run(item, doc, free_item, free_doc, i: int, j: int, length: int) -> int:
 
 
 def _item_seeds(batch: pa.RecordBatch) -> dict:
-    items, places, seeds, sizes = [], [], [], []
-    for item_id, text in zip(batch.column("item_id").to_pylist(), strings(batch)):
+    items, keys, places, seeds, sizes = [], [], [], [], []
+    for item_id, key, text in zip(batch.column("item_id").to_pylist(), batch.column("item_key").to_pylist(), strings(batch)):
         words = tokens(text)
         if len(words) >= MIN_TILE:
             own = shingles(words, MIN_TILE).view(np.int64)
             items += [item_id] * len(own)
+            keys += [key] * len(own)
             sizes += [len(words)] * len(own)
             places += range(len(own))
             seeds += own.tolist()
     return {
         "item_id": pa.array(items, pa.int64()),
+        "item_key": pa.array(keys, pa.int64()),
         "place": pa.array(places, pa.int32()),
         "n_words": pa.array(sizes, pa.int32()),
         "seed": pa.array(seeds, pa.int64()),
@@ -127,7 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     document and item of whose words the document's tiles cover at least ``coverage``.
 
     Tiles are runs of MIN_TILE common words at least, in any order, none overlapping. An item under MIN_TILE words
-    never matches, nor does a null or empty text. Rows with a null or repeated doc_id are separate documents, told apart by doc_key (a hash
+    never matches, nor does a null or empty text. An item with a null id counts; its rows have a null item_id. Rows with a null or repeated doc_id are separate documents, told apart by doc_key (a hash
     of the text); repeated rows give one row an item. Items with the same id and text are one; with the same id
     and different texts, each is tried. Extra columns are not read; an empty table on either side gives an
     empty one.
@@ -135,29 +137,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     Documents are read once; those with a seed that passes the filter are stored. Seeds are joined exactly. A pair is
     tiled only if its shared seeds can cover enough: a tile of t words has t - MIN_TILE + 1 of them.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     items = items.withColumn("item_key", F.xxhash64("text"))
-    seeds = store(map_rows(items.select("item_id", "text"), _item_seeds, "item_id long, place int, n_words int, seed long"), "item-seeds")
+    seeds = store(map_rows(items.select("item_id", "item_key", "text"), _item_seeds, "item_id long, item_key long, place int, n_words int, seed long"), "item-seeds")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(seeds, "seed"))
     schema = "doc_id long, doc_key long, text string, seeds array<long>"
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("doc_key"), "text")
     hits = store(texts.mapInArrow(_hits(shared), schema), "hit-documents")
-    places = seeds.groupBy("seed", "item_id", "n_words").agg(F.count("*").alias("places"))
+    places = seeds.groupBy("seed", "item_id", "item_key", "n_words").agg(F.count("*").alias("places"))
     candidates = (
         hits.select("doc_id", "doc_key", F.explode("seeds").alias("seed"))
         .distinct()
         .join(places, "seed")
-        .groupBy("doc_id", "doc_key", "item_id", "n_words")
+        .groupBy("doc_id", "doc_key", "item_id", "item_key", "n_words")
         .agg(F.sum("places").alias("places"))
         .where(F.col("places") * MIN_TILE >= coverage * F.col("n_words"))
-        .select("doc_id", "doc_key", "item_id")
+        .select("doc_id", "doc_key", "item_id", "item_key")
         .distinct()
     )
     candidates = store(candidates, "candidate-pairs")
     once = hits.select("doc_id", "doc_key", "text").dropDuplicates(["doc_id", "doc_key"])
     same = once["doc_id"].eqNullSafe(candidates["doc_id"]) & (once["doc_key"] == candidates["doc_key"])
-    pairs = once.join(candidates.select("doc_id", "doc_key", "item_id"), same).select(once["doc_id"], once["doc_key"], "text", "item_id")
-    full = pairs.join(items.select("item_id", F.col("text").alias("item_text")), "item_id")
+    pairs = once.join(candidates, same).select(once["doc_id"], once["doc_key"], "text", candidates["item_id"], "item_key")
+    named = items.select(F.col("item_id").alias("own_id"), F.col("item_key").alias("own_key"), F.col("text").alias("item_text"))
+    full = pairs.join(named, (F.col("item_key") == F.col("own_key")) & F.col("item_id").eqNullSafe(F.col("own_id"))).drop("own_id", "own_key")
     schema = """doc_id long, doc_key long, item_id long, coverage double, n_tiles int, longest int,
       item_starts array<int>, doc_starts array<int>, lengths array<int>"""
     return map_rows(full, _tile, schema).where(F.col("coverage") >= coverage)
