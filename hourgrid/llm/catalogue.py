@@ -29,17 +29,29 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def op1_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
-    """Outcomes: a page is bad if the document that its url ends in is labelled toxic or of low quality."""
-    pages = table(spark, sf, "pages")
+def _page_outcomes(spark: SparkSession, sf: str, pages: DataFrame) -> DataFrame:
+    """A page is bad if the document that its url ends in is labelled toxic or of low quality."""
     number = F.regexp_extract("url", r"/([0-9]{1,18})(\.html|/)?([?#].*)?$", 1)
     judged = pages.select(
         url_reputation.host_of(F.col("url")).alias("host"), F.when(number != "", number).cast("long").alias("doc_id")
     )
     bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
     labels = table(spark, sf, "labels").select("doc_id", bad.cast("int").alias("bad"))
-    outcomes = judged.where("host <> ''").join(labels, "doc_id").select("host", "bad")
-    return url_reputation.judge_urls(pages, RULES, url_reputation.host_reputation(outcomes))
+    return judged.where("host <> ''").join(labels, "doc_id").select("host", "bad")
+
+
+def op1_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
+    """As its SQL twin: a host without labelled pages has no posterior and is allowed."""
+    pages = table(spark, sf, "pages")
+    return url_reputation.judge_urls(pages, RULES, url_reputation.host_reputation(_page_outcomes(spark, sf, pages)))
+
+
+def op1_url_reputation_all_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """Hosts without labelled pages are judged by their domain, else their suffix, else all labelled pages."""
+    pages = table(spark, sf, "pages")
+    hosts = pages.select(url_reputation.host_of(F.col("url")).alias("host"))
+    known = url_reputation.host_reputation(_page_outcomes(spark, sf, pages), hosts=hosts)
+    return url_reputation.judge_urls(pages, RULES, known)
 
 
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_reputation,
+        op1_url_reputation_all_hosts,
         op2_token_counts,
         op3_multiset_hash,
         op4_rans_files,

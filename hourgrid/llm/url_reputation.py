@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourgrid.sources.scratch import store
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALLOW, BLOCK = "allow", "block"
 
@@ -95,22 +97,43 @@ def _shrunk(level: DataFrame, keys: list[str], parent_mean: str, mean: str, sett
     )
 
 
-def host_reputation(outcomes: DataFrame, settings: Reputation = Reputation()) -> DataFrame:
+def _backed_off(hosts: DataFrame, by_host: DataFrame, by_domain: DataFrame, by_suffix: DataFrame, overall: DataFrame) -> DataFrame:
+    """Hosts without labelled pages, with the mean of the lowest level that has some and the hosts' prior strength."""
+    seen = by_host.select("host")
+    unseen = hosts.where("host IS NOT NULL AND host <> ''").select("host").distinct().join(seen, "host", "left_anti").withColumns(_levels(F.col("host")))
+    found = unseen.join(by_domain.select("suffix", "domain", "m2"), ["suffix", "domain"], "left").join(by_suffix.select("suffix", "m1"), "suffix", "left")
+    # Both are one row.
+    strength = by_host.agg(F.first("m3_strength").alias("m3_strength"))
+    none = F.lit(0).cast("long")
+    return found.join(F.broadcast(overall)).join(F.broadcast(strength)).select(
+        "host", none.alias("x"), none.alias("n"), "m3_strength", F.coalesce("m2", "m1", "m0").alias("m3")
+    )
+
+
+def host_reputation(outcomes: DataFrame, settings: Reputation = Reputation(), hosts: DataFrame | None = None) -> DataFrame:
     """(host, n, x, posterior_mean, lower_bound, blocked) from (host, bad) rows, where bad is 0 or 1.
 
     Each level is shrunk to the one above: host to registered domain to suffix to all labelled pages. Rows with a null
     host or outcome do not count. Counts are taken per host before anything is joined, so a hot host
-    is one row from there on.
+    is one row from there on. Those of ``hosts`` without labelled pages get rows too, with n = 0 and the mean of
+    their domain, else of their suffix, else of all labelled pages.
     """
     known = outcomes.where("host IS NOT NULL AND bad IS NOT NULL")
-    hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("x"))
-    hosts = hosts.withColumns(_levels(F.col("host")))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    # Other hosts look the levels up again, so these are stored for them, to keep the plan small.
+    keep = store if hosts is not None else lambda level, _: level
+    counted = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("x"))
+    counted = keep(counted.withColumns(_levels(F.col("host"))), "host-counts")
+    domains = counted.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     overall = suffixes.agg((F.sum("x") / F.sum("n")).alias("m0"))
-    by_suffix = _shrunk(suffixes.join(F.broadcast(overall)), ["suffix"], "m0", "m1", settings)
+    by_suffix = keep(_shrunk(suffixes.join(F.broadcast(overall)), ["suffix"], "m0", "m1", settings), "host-suffixes")
     by_domain = _shrunk(domains.join(by_suffix.select("suffix", "m1"), "suffix"), ["suffix", "domain"], "m1", "m2", settings)
-    by_host = _shrunk(hosts.join(by_domain.select("suffix", "domain", "m2"), ["suffix", "domain"]), ["host"], "m2", "m3", settings)
+    by_domain = keep(by_domain, "host-domains")
+    by_host = _shrunk(counted.join(by_domain.select("suffix", "domain", "m2"), ["suffix", "domain"]), ["host"], "m2", "m3", settings)
+    by_host = keep(by_host, "host-means")
+    by_host = by_host.select("host", "x", "n", "m3_strength", "m3")
+    if hosts is not None:
+        by_host = by_host.unionByName(_backed_off(hosts, by_host, by_domain, by_suffix, overall))
     total = F.col("n") + F.col("m3_strength")
     bound = F.col("m3") - settings.deviations * F.sqrt(F.col("m3") * (1 - F.col("m3")) / (total + 1))
     return by_host.select(
@@ -126,7 +149,7 @@ def host_reputation(outcomes: DataFrame, settings: Reputation = Reputation()) ->
 def judge_urls(pages: DataFrame, rules: list[Rule], reputation: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, posterior_mean, lower_bound, labelled) of every page.
 
-    The longest fitting rule decides, else the host's reputation; a host without labelled pages is allowed, as
+    The longest fitting rule decides, else the host's reputation; a host that has none there is allowed, as
     is a null url or one without "://", whose host and path are empty. Null and repeated page ids and copies
     stay as they are; extra columns are not read; an empty table gives an empty one. Only hosts are
     joined on, one reputation row each; a hot host's pages can be split over tasks.
