@@ -16,8 +16,8 @@ from standins.section_b import naive_test
 
 DIGITS = 4
 ACTUAL = "CAST(caiso_mw AS DOUBLE)"
-# A smaller forest than the default, which is made for a cluster.
-FOREST = forest.ForestSettings(trees=20, depth=8)
+# The full-size forest, as in the operator.
+FOREST = forest.ForestSettings()
 
 
 def rounded(scores):

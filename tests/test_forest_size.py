@@ -1,0 +1,8 @@
+from __future__ import annotations
+
+from hourgrid.operators import forest
+from standins import section_j
+
+
+def test_registered_queries_train_the_full_forest():
+    assert section_j.FOREST == forest.ForestSettings()
