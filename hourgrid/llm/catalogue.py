@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from hourgrid.llm import bpe, fingerprint, langid, line_dedup, near_dup, tiling, token_counts, token_files, toxicity, twins, url_reputation
+from hourgrid.llm import bpe, fingerprint, langid, line_dedup, near_dup, simhash, tiling, token_counts, token_files, toxicity, twins, url_reputation
 from hourgrid.llm.common import remainder, vocabulary_path
 from hourgrid.llm.url_reputation import Rule
 from hourgrid.sources.scratch import scratch_path
@@ -98,6 +98,10 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.duplicate_lines(table(spark, sf, "documents")).select("doc_id", "line_no", "first_doc_id", "first_line_no", "edits")
 
 
+def op12_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.simhash_duplicates(table(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_duplicates,
         op9_language,
         op10_line_dedup,
+        op12_simhash,
         pipeline,
     )
 }
