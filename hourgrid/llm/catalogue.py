@@ -9,7 +9,22 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from hourgrid.llm import bpe, fingerprint, langid, line_dedup, near_dup, simhash, tiling, token_counts, token_files, toxicity, twins, url_reputation
+from hourgrid.llm import (
+    bpe,
+    filter_audit,
+    fingerprint,
+    langid,
+    line_dedup,
+    near_dup,
+    prefix_trie,
+    simhash,
+    tiling,
+    token_counts,
+    token_files,
+    toxicity,
+    twins,
+    url_reputation,
+)
 from hourgrid.llm.common import remainder, vocabulary_path
 from hourgrid.llm.url_reputation import Rule
 from hourgrid.sources.scratch import scratch_path
@@ -98,10 +113,19 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.duplicate_lines(table(spark, sf, "documents")).select("doc_id", "line_no", "first_doc_id", "first_line_no", "edits")
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch_path(spark, "filter-audit")
+    return filter_audit.audit_filters(spark, f"{sf}/documents.parquet", table(spark, sf, "labels"), folder)
+
+
 def op12_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, sf, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -120,7 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_duplicates,
         op9_language,
         op10_line_dedup,
+        op11_filter_audit,
         op12_simhash,
+        op13_prefix_trie,
         pipeline,
     )
 }
@@ -128,4 +154,6 @@ ORACLES: dict[str, str] = {
     "op1_url_reputation": twins.URL_REPUTATION,
     "op8_near_duplicates": twins.NEAR_DUPLICATES,
     "op10_line_dedup": twins.LINE_DEDUP,
+    "op11_filter_audit": twins.FILTER_AUDIT,
+    "op13_prefix_trie": twins.PREFIX_TRIE,
 }

@@ -102,3 +102,80 @@ FROM placed WHERE (doc_id, line_no) <> first
 UNION ALL
 SELECT struct_extract(place, 1), struct_extract(place, 2), struct_extract(first, 1), struct_extract(first, 2), 1 FROM near
 """
+
+FILTER_AUDIT = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+marked AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM texts),
+flags AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT m.part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+     'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+     'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(m.doc_id > least, false)} AS f
+  FROM marked m LEFT JOIN flags l ON l.doc_id = m.doc_id),
+lettered AS (
+  SELECT part, good, toxic, list_filter([CASE WHEN f.A THEN 'A' END, CASE WHEN f.B THEN 'B' END, CASE WHEN f.C THEN 'C' END,
+    CASE WHEN f.D THEN 'D' END, CASE WHEN f.E THEN 'E' END], lambda x: x IS NOT NULL) AS failed FROM fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter, string_split(substr(filter_order, 1, step - 1), '') AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+counted AS (SELECT part, good, toxic, failed, count(*) AS n FROM lettered GROUP BY ALL),
+judged AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, list_contains(failed, letter) AS own,
+    list_has_any(failed, earlier) AS gone, len(failed) AS k FROM counted, steps),
+report AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (own AND gone), 0) AS redundant, coalesce(sum(n) FILTER (own AND k = 1), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (own AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (own AND NOT gone AND toxic), 0) AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM report
+"""
+
+PREFIX_TRIE = r"""
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc_of_byte AS (SELECT i, v FROM bits WHERE k = 8),
+ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL),
+crc(conv_id, s, place, c) AS (
+  SELECT conv_id, s, 0, 4294967295 FROM ids
+  UNION ALL SELECT conv_id, s, place + 1, xor(b.v, c >> 8)
+  FROM crc JOIN crc_of_byte b ON b.i = xor(c & 255, ascii(substr(s, place + 1, 1))) WHERE place < length(s)),
+heads AS (SELECT conv_id, xor(c, 4294967295) % 6 AS h, conv_id - conv_id % 100 AS base FROM crc WHERE place = length(s)),
+plain AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'key': md5(concat(length(role), ':', role, ':', text)), 'chars': length(text)}
+    ORDER BY turn NULLS FIRST, role, md5(text)) AS turns
+  FROM plain GROUP BY conv_id),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[:CAST(h AS INT)], c.turns[CAST(h AS INT) + 1:]) AS turns
+  FROM own c JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = base),
+prefixes AS (
+  SELECT conv_id, len(turns) AS length, unnest(range(len(turns) + 1)) AS depth, turns,
+    list_transform(turns, lambda t: t.key) AS keys FROM built),
+members AS (
+  SELECT conv_id, length, depth, CASE WHEN depth = 0 THEN '' ELSE array_to_string(keys[:depth], '') END AS path,
+    CASE WHEN depth = 0 THEN 0 ELSE turns[depth].chars END AS chars FROM prefixes),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (length = depth), '') AS ends
+  FROM members GROUP BY path, depth),
+children AS (SELECT substr(path, 1, 32 * CAST(depth - 1 AS INT)) AS path, count(*) AS children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(c.children, 0) AS children FROM nodes n LEFT JOIN children c USING (path)),
+below AS (
+  SELECT a.path, sum(CASE WHEN b.children = 0 THEN 1 ELSE 0 END) AS leaves, sum((b.n - 1) * b.chars) AS saved
+  FROM full_nodes a JOIN full_nodes b ON starts_with(b.path, a.path) GROUP BY a.path)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n AS n_convs, n.children AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_nodes n JOIN below USING (path)
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = substr(n.path, 1, 32 * CAST(n.depth - 1 AS INT))
+"""
