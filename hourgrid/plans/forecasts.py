@@ -54,14 +54,16 @@ def final_validation(
     frame: DataFrame,
     last_train_year: int,
     settings: forest.ForestSettings = forest.ForestSettings(),
+    fitted: forest.FittedForest | None = None,
 ) -> DataFrame:
     """All test rows with the territory, regional and forest forecasts.
 
-    ``frame`` is read by five fits and the forecast, so pass a stored table.
+    ``frame`` is read by five fits and the forecast, so pass a stored table; ``fitted`` is a forest trained on the
+    same split, if there is one already.
     """
     train, test = features.split_by_year(frame, last_train_year)
     regional = regression.forecast_territories(test, regression.fit_territories(train))
-    return forest.fit_forest(train, settings=settings).forecast(regional)
+    return (fitted or forest.fit_forest(train, settings=settings)).forecast(regional)
 
 
 def validation_scores(results: DataFrame) -> DataFrame:

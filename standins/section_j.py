@@ -118,43 +118,54 @@ def bottom_up_sum_final(spark, sf):
     return rounded(errors.score(regional, "caiso_mw", "forecast_regional"))
 
 
+# One forest per session, tables and split; its nodes are in the scratch folder.
+_FORESTS: dict[tuple, forest.FittedForest] = {}
+
+
+def _frame_and_forest(spark, sf, last_train_year):
+    """The frame and the forest of one split; the queries share what the first of them trains."""
+    key = (spark.sparkContext.applicationId, sf, last_train_year)
+    rows = frame(spark, sf)
+    if key not in _FORESTS:
+        train, _ = features.split_by_year(rows, last_train_year)
+        _FORESTS[key] = forest.fit_forest(train, settings=FOREST)
+    return rows, _FORESTS[key]
+
+
 def _forest(spark, sf):
-    train, test = features.split_by_year(frame(spark, sf), inputs.LAST_TRAIN_YEAR)
-    return forest.fit_forest(train, settings=FOREST), test
+    return _frame_and_forest(spark, sf, inputs.LAST_TRAIN_YEAR)
 
 
 @register("j12_random_forest_fit")
 def random_forest_fit(spark, sf):
     """Size of the trained forest."""
-    fitted, _ = _forest(spark, sf)
-    sizes = [(t, tree.numNodes, tree.depth) for t, tree in enumerate(fitted.model.trees)]
-    return spark.createDataFrame(sizes, "tree int, nodes int, depth int")
+    return _forest(spark, sf)[1].sizes(spark)
 
 
 @register("j13_random_forest_predict")
 def random_forest_predict(spark, sf):
-    fitted, test = _forest(spark, sf)
+    rows, fitted = _forest(spark, sf)
+    _, test = features.split_by_year(rows, inputs.LAST_TRAIN_YEAR)
     return rounded(errors.score(fitted.forecast(test), "caiso_mw", "forecast_rf"))
 
 
 @register("j14_feature_importance")
 def feature_importance(spark, sf):
-    fitted, _ = _forest(spark, sf)
-    return fitted.importances(spark)
+    return _forest(spark, sf)[1].importances(spark)
 
 
 @register("f05_sort_importances")
 def sort_importances(spark, sf):
     """Largest first; the rank is part of the result."""
-    fitted, _ = _forest(spark, sf)
-    importances = fitted.importances(spark)
+    importances = _forest(spark, sf)[1].importances(spark)
     # One row per feature.
     rank = F.row_number().over(W.orderBy(F.desc("importance"), "feature"))
     return importances.withColumn("rank", rank).orderBy("rank")
 
 
 def _final(spark, sf):
-    return forecasts.final_validation(frame(spark, sf), inputs.TEST_YEAR, FOREST)
+    rows, fitted = _frame_and_forest(spark, sf, inputs.TEST_YEAR)
+    return forecasts.final_validation(rows, inputs.TEST_YEAR, fitted=fitted)
 
 
 @register("j15_final_validation")
