@@ -11,6 +11,7 @@ from itertools import permutations
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,7 +25,11 @@ HELD_TEXTS = 50_000
 # Bytes of files a micro-batch reads for each core of the cluster.
 BATCH_BYTES = 32 << 20
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_STREAMS = {
+# Texts that share a state: a call of its function costs much more than a text, and a changed state is written as a whole.
+STATE_TEXTS = 16
+# Up to so many texts for each core their states are kept in memory, beyond that in RocksDB.
+MEMORY_TEXTS = 500_000
+_ON_DISK = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
@@ -71,62 +76,78 @@ def _marks(limits: Limits):
 
 
 _MARK = "doc_id long, part string, key binary, mask int"
-_CANDIDATE = "key binary, doc_id long, part string, mask int, n long"
+_CANDIDATE = "bucket long, key binary, doc_id long, part string, mask int, n long"
 _CHANGE = "doc_id long, part string, mask int, n long"
-_HOLDERS = "doc_id long, mask int, parts array<string>, counts array<long>"
+_HOLDERS = "keys array<binary>, doc_ids array<long>, masks array<int>, parts array<string>, counts array<long>"
 
 
-def _candidates(held: dict) -> pa.RecordBatch:
-    flat = [(key, doc_id, part, mask, n) for key, (doc_id, mask, parts) in held.items() for part, n in parts.items()]
-    columns = list(zip(*flat))
-    types = (pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int64())
-    return as_batch({f"c{i}": pa.array(column, kind) for i, (column, kind) in enumerate(zip(columns, types))})
-
-
-def _least_of_each_text(batches: Batches) -> Batches:
+def _least_of_each_text(buckets: int):
     """Of each text in a partition only the rows with its smallest id go on, counted by part; so a text that a
     third of all rows have sends one row a partition.
     """
-    held: dict = {}
-    for batch in batches:
-        for key, doc_id, part, mask in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "part", "mask"))):
-            best = held.get(key)
-            if best is None or doc_id < best[0]:
-                held[key] = (doc_id, mask, {part: 1})
-            elif doc_id == best[0]:
-                best[2][part] = best[2].get(part, 0) + 1
-        if len(held) >= HELD_TEXTS:
-            yield _candidates(held)
-            held = {}
-    if held:
-        yield _candidates(held)
+
+    def candidates(held: dict) -> pa.RecordBatch:
+        flat = [(key, doc_id, part, mask, n) for key, (doc_id, mask, parts) in held.items() for part, n in parts.items()]
+        keys, doc_ids, parts, masks, counts = zip(*flat)
+        return as_batch(
+            {
+                "bucket": pa.array([int.from_bytes(key[:8]) % buckets for key in keys], pa.int64()),
+                "key": pa.array(keys, pa.binary()),
+                "doc_id": pa.array(doc_ids, pa.int64()),
+                "part": pa.array(parts, pa.string()),
+                "mask": pa.array(masks, pa.int32()),
+                "n": pa.array(counts, pa.int64()),
+            }
+        )
+
+    def run(batches: Batches) -> Batches:
+        held: dict = {}
+        for batch in batches:
+            for key, doc_id, part, mask in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "part", "mask"))):
+                best = held.get(key)
+                if best is None or doc_id < best[0]:
+                    held[key] = (doc_id, mask, {part: 1})
+                elif doc_id == best[0]:
+                    best[2][part] = best[2].get(part, 0) + 1
+            if len(held) >= HELD_TEXTS:
+                yield candidates(held)
+                held = {}
+        if held:
+            yield candidates(held)
+
+    return run
 
 
 def _retracting(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of a text is its smallest id so far and who has it. Rows with that id are added to the part counters as
-    not repeated; when a smaller id arrives the earlier rows are taken back.
+    """The state of a few texts: of each the smallest id so far and who has it. Rows with that id are added to the part
+    counters as not repeated; when a smaller id arrives the earlier rows are taken back.
     """
-    known, mask, parts, counts = state.get if state.exists else (None, 0, [], [])
-    holders, changes, before = dict(zip(parts, counts)), [], known
+    known: dict = {}
+    if state.exists:
+        for text, doc_id, mask, part, n in zip(*state.get):
+            known.setdefault(text, (doc_id, mask, {}))[2][part] = n
+    changes = []
     for frame in frames:
-        for doc_id, part, own, n in zip(frame["doc_id"], frame["part"], frame["mask"], frame["n"]):
-            doc_id, n, mask = int(doc_id), int(n), int(own)
-            if known is None or doc_id < known:
-                changes += [(known, p, mask, -c) for p, c in holders.items()]
-                known, holders = doc_id, {}
-            if doc_id == known:
-                holders[part] = holders.get(part, 0) + n
+        for text, doc_id, part, mask, n in zip(*(frame[c].tolist() for c in ("key", "doc_id", "part", "mask", "n"))):
+            best = known.get(text)
+            if best is None or doc_id < best[0]:
+                if best is not None:
+                    changes += [(best[0], p, mask, -c) for p, c in best[2].items()]
+                known[text] = best = (doc_id, mask, {})
+            if doc_id == best[0]:
+                best[2][part] = best[2].get(part, 0) + n
                 changes.append((doc_id, part, mask, n))
-    if changes or before is None:
-        state.update((known, mask, list(holders), list(holders.values())))
+    flat = [(text, doc_id, mask, part, n) for text, (doc_id, mask, parts) in known.items() for part, n in parts.items()]
+    if changes:
+        state.update(tuple(list(column) for column in zip(*flat)))
     yield pd.DataFrame(changes, columns=["doc_id", "part", "mask", "n"])
 
 
 @contextmanager
-def _stream_settings(spark: SparkSession):
-    """State in RocksDB, as files in the checkpoint; a stream takes the settings over when it starts."""
-    before = {key: spark.conf.get(key, None) for key in _STREAMS}
-    for key, value in _STREAMS.items():
+def _stream_settings(spark: SparkSession, settings: dict[str, str]):
+    """A stream takes the settings over when it starts, and keeps them when it goes on later."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         yield
@@ -143,32 +164,45 @@ def _new_rows(spark: SparkSession, path: str, schema, batch_bytes: int) -> DataF
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def _run(spark: SparkSession, rows: DataFrame, folder: str, name: str) -> None:
+def _run(spark: SparkSession, rows: DataFrame, folder: str, name: str, settings: dict[str, str]) -> None:
     """All files that are there, in micro-batches; what is already in the folder's log is not read again."""
     writer = rows.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-    with _stream_settings(spark):
+    with _stream_settings(spark, settings):
         query = writer.option("checkpointLocation", f"{folder}/{name}-log").start(f"{folder}/{name}")
     query.awaitTermination()
 
 
+def _buckets(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """(number of states, texts expected), decided once for a folder: later files find their texts in the same states."""
+    path, texts = f"{folder}/buckets", spark.read.schema(_MARK).parquet(f"{folder}/marks").count()
+    try:
+        return tuple(spark.read.parquet(path).first())
+    except AnalysisException:
+        decided = max(1, texts // STATE_TEXTS), texts
+        spark.createDataFrame([decided], "buckets long, texts long").coalesce(1).write.parquet(path)
+        return decided
+
+
 def update_audit(spark: SparkSession, documents: str, folder: str, limits: Limits = Limits(), batch_bytes: int | None = None) -> None:
     """Bring the audit in ``folder`` up to date with the Parquet files at ``documents`` (doc_id, text, source).
 
     A first stream turns texts into marks: the text's digest and the filters A to D that it fails. A second one sends the
-    marks to a state per digest, which knows the smallest id, and writes changes: rows of that id count as not
-    repeated until a smaller id takes the text over. Call it again when files were added; a run that broke off goes on
-    where it was. Null texts are empty texts; a null source is the empty part. Rows without id don't repeat
-    any text and are not repeated. Rows with the same id and text are none's repetition. Other columns are not read.
+    marks to keyed states, a few texts each, which know the smallest id of a text, and writes changes: rows of that id
+    count as not repeated until a smaller id takes the text over. Call it again when files were added; a run that
+    broke off goes on where it was. Null texts are empty texts; a null source is the empty part. Rows without id don't
+    repeat any text and are not repeated. Rows with the same id and text are none's repetition. Other columns are not read.
     """
-    batch_bytes = batch_bytes or BATCH_BYTES * spark.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
+    batch_bytes = batch_bytes or BATCH_BYTES * cores
     schema = spark.read.parquet(documents).select("doc_id", "text", "source").schema
     rows = _new_rows(spark, documents, schema, batch_bytes)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), "text")
-    _run(spark, map_rows(rows, _marks(limits), _MARK), folder, "marks")
+    _run(spark, map_rows(rows, _marks(limits), _MARK), folder, "marks", {})
+    buckets, texts = _buckets(spark, folder)
     marks = _new_rows(spark, f"{folder}/marks", _schema(spark, _MARK), batch_bytes).where("doc_id IS NOT NULL")
-    least = marks.mapInArrow(_least_of_each_text, _CANDIDATE)
-    changes = least.groupBy("key").applyInPandasWithState(_retracting, _CHANGE, _HOLDERS, "append", GroupStateTimeout.NoTimeout)
-    _run(spark, changes, folder, "changes")
+    least = marks.mapInArrow(_least_of_each_text(buckets), _CANDIDATE)
+    changes = least.groupBy("bucket").applyInPandasWithState(_retracting, _CHANGE, _HOLDERS, "append", GroupStateTimeout.NoTimeout)
+    _run(spark, changes, folder, "changes", _ON_DISK if texts > MEMORY_TEXTS * cores else {})
 
 
 def _schema(spark: SparkSession, ddl: str):

@@ -87,8 +87,10 @@ def test_orders_equal_a_plain_loop(spark):
     assert collected(found) == plain_report(ROWS, LABELS)
 
 
-def test_smaller_ids_retract_what_came_before(spark, monkeypatch):
+@pytest.mark.parametrize("in_memory", [0, 1000])
+def test_smaller_ids_retract_what_came_before(spark, monkeypatch, in_memory):
     """Files arrive in three goes, the smaller ids last; every report in between is right for what has come."""
+    monkeypatch.setattr(filter_audit, "MEMORY_TEXTS", in_memory)
     path, folder = scratch_path(spark, "audit-docs"), scratch_path(spark, "audit")
     later = sorted(ROWS, key=lambda r: -(r[0] or 0))
     for at in (0, 5, 10):
