@@ -2,17 +2,18 @@
 
 A series is cut into spans of consecutive positions, each preceded by as many earlier values as the
 largest lag. A task sees one span at a time (a fixed number of rows) and returns sums; Spark adds
-the sums. Only the added vector (one number per lag) or matrix (lags by lags) reaches the driver.
+the sums. Only the added vector (one number per lag) or a few matrices (lags by lags) reach the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +36,9 @@ ADF_RIGHT = [1.7339, 0.93202, -0.12745, -0.010368]
 # Lag products taken before the bandwidth is known; most bandwidths lie below.
 KPSS_FIRST_PASS = 200
 SPAN_BLOCK = 4_096
+# Tasks in which matrices meet; a column of which less than this share is its own counts as dependent.
+ADDERS = 16
+DEPENDENT = 1e-12
 
 
 def lag_correlations(df: DataFrame, value: str, lags: Sequence[int] = (1, 24, 48, 168)) -> DataFrame:
@@ -200,70 +204,106 @@ def adf_p_value(statistic: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def _added_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row from all rows of a task: their sum."""
+    rows, total = 0, None
+    for batch in batches:
+        for n, gram in zip(batch.column("n").to_pylist(), batch.column("gram")):
+            rows += n
+            own = np.asarray(gram.values)
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        grams = pa.array([total], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), grams], names=["n", "gram"])
+
+
+def _design(x: np.ndarray, first: int, lags: int) -> np.ndarray:
+    """Rows from ``first`` on of (1, level before, ``lags`` earlier differences, difference)."""
+    steps = np.diff(x)
+    earlier = [steps[first - 1 - k : len(steps) - k] for k in range(1, lags + 1)]
+    return np.column_stack([np.ones(len(x) - first), x[first - 1 : -1], *earlier, steps[first - 1 :]])
+
+
 def _difference_gram(series: Series, lags: int, span: int = SERIES_SPAN) -> tuple[int, np.ndarray]:
     """Rows, and the products of (1, level before, ``lags`` earlier differences, difference).
 
     The rows are those with all ``lags`` differences; the level is centred, which leaves its
-    coefficient as it is and keeps the products well scaled.
+    coefficient as it is and keeps the products well scaled. A task adds up the upper triangles of its spans;
+    the tasks' sums meet in ADDERS tasks, of which the driver gets a triangle each.
     """
     mean = series.mean
     reach = lags + 1
     span = max(span, 4 * reach)
     width = lags + 3
+    upper = np.triu_indices(width)
 
     def gram_of_span(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ix")
         x = part["x"].to_numpy() - mean
         own = int((part["ix"].to_numpy() < key[0] * span).sum())
-        steps = np.diff(x)
         first = max(own, reach)
-        count = len(x) - first
-        if count <= 0:
-            return pd.DataFrame({"n": [0], "gram": [[0.0] * (width * width)]})
-        columns = [np.ones(count), x[first - 1 : -1]]
-        for k in range(1, lags + 1):
-            columns.append(steps[first - 1 - k : len(steps) - k])
-        columns.append(steps[first - 1 :])
-        design = np.column_stack(columns)
-        return pd.DataFrame({"n": [count], "gram": [(design.T @ design).ravel().tolist()]})
-
-    grams = series.spans(reach, span).groupBy("_span").applyInPandas(gram_of_span, "n long, gram array<double>")
-    cells = grams.select("n", F.posexplode("gram").alias("cell", "v")).groupBy("cell")
-    cells = cells.agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    collected = cells.orderBy("cell").collect()
-    return int(collected[0]["n"]), np.array([row["v"] for row in collected]).reshape(width, width)
-
-
-def _solve(gram: np.ndarray, used: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """Least squares on the first ``used`` columns: coefficients, residual squares, inverse."""
+        if len(x) <= first:
+            return pd.DataFrame({"n": [0], "gram": [np.zeros(len(upper[0]))]})
+        design = _design(x, first, lags)
+        return pd.DataFrame({"n": [len(design)], "gram": [(design.T @ design)[upper]]})
+
+    schema = "n long, gram array<double>"
+    grams = series.spans(reach, span).groupBy("_span").applyInPandas(gram_of_span, schema).mapInArrow(_added_grams, schema)
+    parts = grams.repartition(ADDERS).mapInArrow(_added_grams, schema).collect()
+    gram = np.zeros((width, width))
+    gram[upper] = np.sum([part["gram"] for part in parts], axis=0) if parts else 0.0
+    return sum(part["n"] for part in parts), gram + np.triu(gram, 1).T
+
+
+def _factor(gram: np.ndarray) -> np.ndarray:
+    """The upper triangular root of a matrix of products. Row k holds what column k adds to those before it, so the squares that the
+    first p columns leave of the last one are what its entries from row p on add up to: one factor serves every p. A
+    column that depends on those before it has a row of zeros.
+    """
     scale = np.sqrt(np.diag(gram))
     scale[scale == 0] = 1.0
-    scaled = gram / np.outer(scale, scale)
-    inverse = np.linalg.pinv(scaled[:used, :used], hermitian=True)
-    weights = inverse @ scaled[:used, -1]
-    left = (scaled[-1, -1] - weights @ scaled[:used, -1]) * scale[-1] ** 2
-    unscale = scale[:used]
-    return weights * scale[-1] / unscale, float(left), inverse / np.outer(unscale, unscale)
+    rest, root = gram / np.outer(scale, scale), np.zeros_like(gram)
+    for k in range(len(gram)):
+        if rest[k, k] > DEPENDENT:
+            root[k, k:] = rest[k, k:] / math.sqrt(rest[k, k])
+            rest = rest - np.outer(root[k], root[k])
+    return root * scale
+
+
+def _with_first_rows(series: Series, gram: np.ndarray, lags: int, fewer: int) -> tuple[int, np.ndarray]:
+    """How many more rows have ``fewer`` differences, all at the start of the series, and the products with them."""
+    kept = [0, 1, *range(2, fewer + 2), lags + 2]
+    smaller = gram[np.ix_(kept, kept)]
+    start = series.rows.orderBy("ix").limit(lags + 1).collect()
+    x = np.array([float(row["x"]) for row in start]) - series.mean
+    if fewer == lags or len(x) <= fewer + 1:
+        return 0, smaller
+    design = _design(x, fewer + 1, fewer)
+    return len(design), smaller + design.T @ design
 
 
 def adf_test(df: DataFrame, value: str, max_lag: int | None = None, position: str = "row_ix") -> DataFrame:
     """Augmented Dickey-Fuller with a constant, lag order by AIC: statistic, p-value, lags, rows.
 
-    One matrix of products serves all lag orders; a second pass refits the chosen one on all the
-    rows it can use.
+    One matrix of products and one factor of it serve all lag orders; the chosen order is refitted on all the
+    rows it can use, which are those of the matrix and the first ones of the series.
     """
     series = Series.of(df, value, position)
     if max_lag is None:
         max_lag = min(math.ceil(12 * (series.length / 100) ** 0.25), series.length // 2 - 2)
     used, gram = _difference_gram(series, max_lag)
+    squares = _factor(gram)[:, -1] ** 2
+    left = np.maximum(np.cumsum(squares[::-1])[::-1], np.finfo(float).tiny)
 
     def criterion(lags: int) -> float:
-        left = _solve(gram, lags + 2)[1]
-        return used * (math.log(2 * math.pi * left / used) + 1) + 2 * (lags + 2)
+        return used * (math.log(2 * math.pi * left[lags + 2] / used) + 1) + 2 * (lags + 2)
 
     best = min(range(max_lag + 1), key=criterion)
-    used, gram = _difference_gram(series, best)
-    weights, left, inverse = _solve(gram, best + 2)
-    statistic = weights[1] / math.sqrt(left / (used - best - 2) * inverse[1, 1])
+    more, gram = _with_first_rows(series, gram, max_lag, best)
+    used += more
+    # With the level last, its row alone says what it adds.
+    order = [0, *range(2, best + 2), 1, best + 2]
+    root = _factor(gram[np.ix_(order, order)])
+    statistic = root[-2, -1] / math.sqrt(root[-1, -1] ** 2 / (used - best - 2))
     result = [(round(float(statistic), 6), round(adf_p_value(statistic), 6), best, used)]
     return df.sparkSession.createDataFrame(result, "statistic double, p_value double, lags int, used_rows long")

@@ -103,55 +103,68 @@ def pacf(spark, sf):
     return diagnostics.pacf(inputs.readings_placed(spark, sf), LOAD)
 
 
-ADF_LAGS = 30
-
-
-def _eliminated(name, names, source, steps):
-    """Products of the columns over ``source``, the first ``steps`` of them eliminated one by one."""
-    size = len(names)
-    rows = ", ".join("[" + ", ".join(f"SUM({a} * {b})" for b in names) + "]" for a in names)
-    return f"""{name}(k, e) AS (
-  SELECT 0, [{rows}] FROM {source}
+def _eliminated(name, source, columns, steps):
+    """Products of the listed columns over ``source``, the first ``steps`` of them eliminated one by one."""
+    return f"""{name}_sums AS MATERIALIZED (
+  SELECT i, j, SUM({columns}[i] * {columns}[j]) AS p FROM {source}, range(1, 1000) a(i), range(1, 1000) b(j)
+  WHERE i <= j AND j <= len({columns}) GROUP BY i, j),
+{name}_rows AS (
+  SELECT i, list(p ORDER BY j) AS r FROM (
+    SELECT i, j, p FROM {name}_sums UNION ALL SELECT j, i, p FROM {name}_sums WHERE i < j) GROUP BY i),
+{name}(k, e) AS (
+  SELECT 0, (SELECT list(r ORDER BY i) FROM {name}_rows)
   UNION ALL
   SELECT k + 1, [CASE WHEN i = k + 1 THEN e[i]
-    ELSE [e[i][j] - e[i][k + 1] * e[k + 1][j] / e[k + 1][k + 1] FOR j IN range(1, {size + 1})] END
-    FOR i IN range(1, {size + 1})]
+    ELSE [e[i][j] - e[i][k + 1] * e[k + 1][j] / e[k + 1][k + 1] FOR j IN range(1, len(e) + 1)] END
+    FOR i IN range(1, len(e) + 1)]
   FROM {name} WHERE k < {steps})"""
 
 
-_GAPS = [f"d{k}" for k in range(1, ADF_LAGS + 1)]
+def _tau(column, start):
+    """The statistic, lags and rows of the unit-root test with every lag order that the rule allows."""
+    return _with(
+        _series(column, start),
+        "limits AS MATERIALIZED (SELECT CAST(LEAST(CEIL(12 * POWER(n / 100.0, 0.25)), n // 2 - 2) AS INT) AS most FROM level)",
+        """steps AS MATERIALIZED (SELECT t, LAG(e) OVER (ORDER BY t) AS level, e - LAG(e) OVER (ORDER BY t) AS y, most
+  FROM centred, limits)""",
+        """rows_all AS MATERIALIZED (SELECT *, list_reverse(list(y) OVER (ORDER BY t ROWS BETWEEN most PRECEDING AND 1 PRECEDING)) AS gaps
+  FROM steps)""",
+        "rows_full AS MATERIALIZED (SELECT list_concat([1.0, level], gaps, [y]) AS v FROM rows_all WHERE t > most)",
+        _eliminated("nested", "rows_full", "v", "(SELECT most FROM limits) + 2"),
+        """orders AS (SELECT k - 2 AS lags, n * LN(e[len(e)][len(e)] / n) + 2 * k AS aic
+  FROM nested, (SELECT COUNT(*) AS n FROM rows_full) WHERE k >= 2)""",
+        "best AS MATERIALIZED (SELECT CAST(arg_min(lags, aic) AS INT) AS lags FROM orders)",
+        "rows_used AS MATERIALIZED (SELECT list_concat([1.0], gaps[:lags], [level, y]) AS v FROM rows_all, best WHERE t > lags)",
+        _eliminated("refit", "rows_used", "v", "(SELECT lags FROM best) + 1"),
+        """tau AS (SELECT e[lags + 2][lags + 3] / SQRT((e[lags + 3][lags + 3] - e[lags + 2][lags + 3] * e[lags + 2][lags + 3] / e[lags + 2][lags + 2])
+    / (used_rows - lags - 2) * e[lags + 2][lags + 2]) AS x, lags, used_rows
+  FROM refit, best, (SELECT COUNT(*) AS used_rows FROM rows_used) WHERE k = lags + 1)""",
+    )
 
 
 @register(
     "i05_adf_statistic",
-    _with(
-        _series("(caiso_mw - forecast_24)", 24),
-        """steps AS MATERIALIZED (SELECT t, 1.0 AS one, LAG(e) OVER (ORDER BY t) AS level,
-  e - LAG(e) OVER (ORDER BY t) AS y FROM centred)""",
-        f"""rows_all AS MATERIALIZED (SELECT *, {", ".join(f"LAG(y, {k}) OVER (ORDER BY t) AS d{k}" for k in range(1, ADF_LAGS + 1))}
-  FROM steps)""",
-        f"rows_full AS MATERIALIZED (SELECT * FROM rows_all WHERE t > {ADF_LAGS})",
-        _eliminated("nested", ["one", "level", *_GAPS, "y"], "rows_full", ADF_LAGS + 2),
-        f"""orders AS (SELECT k - 2 AS lags, n * LN(e[{ADF_LAGS + 3}][{ADF_LAGS + 3}] / n) + 2 * k AS aic
-  FROM nested, (SELECT COUNT(*) AS n FROM rows_full) WHERE k >= 2)""",
-        "best AS MATERIALIZED (SELECT arg_min(lags, aic) AS lags FROM orders)",
-        "rows_used AS MATERIALIZED (SELECT * FROM rows_all, best WHERE t > lags)",
-        _eliminated("refit", ["one", *_GAPS, "level", "y"], "rows_used", "(SELECT lags + 1 FROM best)"),
-        f"""last AS (SELECT e[{ADF_LAGS + 2}][{ADF_LAGS + 2}] AS d, e[{ADF_LAGS + 2}][{ADF_LAGS + 3}] AS b,
-    e[{ADF_LAGS + 3}][{ADF_LAGS + 3}] AS left_over FROM refit, best WHERE k = lags + 1)""",
-    )
-    + """
-SELECT ROUND(b / SQRT((left_over - b * b / d) / (n - lags - 2) * d), 6) AS statistic, CAST(lags AS INT) AS lags,
-  n AS used_rows FROM last, best, (SELECT COUNT(*) AS n FROM rows_used)""",
+    _tau("(caiso_mw - forecast_24)", 24) + "\nSELECT ROUND(x, 6) AS statistic, CAST(lags AS INT) AS lags, used_rows FROM tau",
 )
 def adf_statistic(spark, sf):
-    """On the 24-row difference, which needs many lags; at most 30 are tried."""
+    """On the 24-row difference, which needs many lags."""
     gaps = order.add_seasonal_differences(inputs.readings_placed(spark, sf), LOAD, [24])
-    tested = diagnostics.adf_test(gaps.where(F.col("row_ix") >= 24), "diff_24", ADF_LAGS)
-    return tested.select("statistic", "lags", "used_rows")
+    return diagnostics.adf_test(gaps.where(F.col("row_ix") >= 24), "diff_24").select("statistic", "lags", "used_rows")
 
 
-@register("i05_adf_test")
+@register(
+    "i05_adf_test",
+    _tau("caiso_mw", 0)
+    + """
+, place AS (SELECT *, CASE WHEN x <= -1.61 THEN 2.1659 + 1.4412 * x + 0.038269 * x * x
+    ELSE 1.7339 + 0.93202 * x - 0.12745 * x * x - 0.010368 * x * x * x END AS z FROM tau)
+-- The normal distribution function by its power series, |z|^(2k+1) over the odd numbers up to 2k+1.
+, normal AS (SELECT *, 0.5 + SIGN(z) * EXP(-z * z / 2) / SQRT(2 * PI()) * list_sum([
+    EXP((2 * k + 1) * LN(ABS(z)) - (k + 1) * LN(2) - lgamma(k + 1.5) + LN(PI()) / 2) FOR k IN range(0, 200)]) AS below FROM place)
+SELECT ROUND(x, 6) AS statistic, ROUND(CASE WHEN x > 2.74 THEN 1 WHEN x < -18.83 OR z < -8 THEN 0 WHEN z > 8 THEN 1 ELSE below END, 6) AS p_value,
+  CAST(lags AS INT) AS lags, used_rows
+FROM normal""",
+)
 def adf_test(spark, sf):
     """All lags the rule allows, and the p-value."""
     return diagnostics.adf_test(inputs.readings_placed(spark, sf), LOAD)
