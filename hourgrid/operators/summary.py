@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hourgrid.fixed import LOADS
+from hourgrid.fixed import GROUP_ROWS, LOADS
 from hourgrid.functions import calendar
 from hourgrid.functions.scores import mean_of
 from hourgrid.operators.joins import in_day_order, peak_rows_by
@@ -147,10 +147,10 @@ def null_profile(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(pairs), F.col("_rows").alias("row_count"))
 
 
-def describe(df: DataFrame, columns: Sequence[str] = LOADS) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] = LOADS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum, one row per column."""
     spark = df.sparkSession
-    found = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    found = exact_quantiles(df, columns, [0.25, 0.5, 0.75], group_rows)
     quartiles = [(name, *found[name]) for name in columns]
     schema = "column_name string, q25 double, q50 double, q75 double"
     parts = [

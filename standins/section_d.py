@@ -215,6 +215,13 @@ def describe(spark, sf):
     return table.withColumns({c: F.round(c, 8) for c in ["std", "q25", "q50", "q75"]})
 
 
+@register("d18_describe_narrowed", sql.readings("\nUNION ALL ".join(_described(c) for c in LOAD_COLUMNS)))
+def describe_narrowed(spark, sf):
+    """The same by repeated binning, as taken when the values do not fit into one task."""
+    table = summary.describe(inputs.readings(spark, sf), LOAD_COLUMNS, group_rows=1_000)
+    return table.withColumns({c: F.round(c, 8) for c in ["std", "q25", "q50", "q75"]})
+
+
 @register("d19_distinct_hours", sql.readings("SELECT DISTINCT hour_ending FROM r_rows"))
 def distinct_hours(spark, sf):
     return summary.distinct_values(inputs.readings(spark, sf), "hour_ending")

@@ -26,6 +26,19 @@ def test_quantiles_do_not_depend_on_the_limit(spark, values):
         assert small["v"][2] == 2.0
 
 
+def test_all_ranks_are_found_in_few_jobs(spark, monkeypatch):
+    """Five columns and three quartiles past the limit: bounds, a few narrowing passes, the values."""
+    rows = spark.range(20_000).selectExpr(*[f"double(hash(id, {k})) * {10.0 ** (3 * k - 6)} AS c{k}" for k in range(4)], "double(id % 3) AS c4")
+    columns, fractions = [f"c{k}" for k in range(5)], [0.25, 0.5, 0.75]
+    small = quantiles.exact_quantiles(rows, columns, fractions)
+    passes = []
+    for name in ("_narrowed", "_ranked"):
+        monkeypatch.setattr(quantiles, name, lambda *a, f=getattr(quantiles, name), name=name: passes.append(name) or f(*a))
+    found = quantiles.exact_quantiles(rows, columns, fractions, group_rows=2)
+    assert all(found[c] == pytest.approx(small[c], rel=1e-12) for c in columns)
+    assert len(passes) <= 8 and passes.count("_ranked") <= 1
+
+
 @pytest.mark.parametrize("limit", [1, 2, 100])
 def test_numbering_keeps_null_labels(spark, load_rows, limit):
     rows = load_rows([("2024-01-01", 1, 5), ("2024-01-01", 1, 4), ("2024-01-02", 3, 7)])
