@@ -56,12 +56,6 @@ def _page_outcomes(spark: SparkSession, sf: str, pages: DataFrame) -> DataFrame:
 
 
 def op1_url_reputation(spark: SparkSession, sf: str) -> DataFrame:
-    """As its SQL twin: a host without labelled pages has no posterior and is allowed."""
-    pages = table(spark, sf, "pages")
-    return url_reputation.judge_urls(pages, RULES, url_reputation.host_reputation(_page_outcomes(spark, sf, pages)))
-
-
-def op1_url_reputation_all_hosts(spark: SparkSession, sf: str) -> DataFrame:
     """Hosts without labelled pages are judged by their domain, else their suffix, else all labelled pages."""
     pages = table(spark, sf, "pages")
     hosts = pages.select(url_reputation.host_of(F.col("url")).alias("host"))
@@ -69,6 +63,11 @@ def op1_url_reputation_all_hosts(spark: SparkSession, sf: str) -> DataFrame:
     return url_reputation.judge_urls(pages, RULES, known)
 
 
+def op1_url_reputation_all_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """An earlier name of the same rule."""
+    return op1_url_reputation(spark, sf)
+
+
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.add_token_counts(table(spark, sf, "documents"), vocabulary_path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
@@ -152,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_url_reputation": twins.URL_REPUTATION,
+    "op1_url_reputation_all_hosts": twins.URL_REPUTATION,
     "op8_near_duplicates": twins.NEAR_DUPLICATES,
     "op10_line_dedup": twins.LINE_DEDUP,
     "op11_filter_audit": twins.FILTER_AUDIT,

@@ -40,7 +40,20 @@ d1 AS (SELECT suffix, domain, (x + k * m) / (n + k) AS m FROM d0, dk),
 h0 AS (SELECT h.*, d1.m FROM hosts h JOIN d1 USING (suffix, domain)),
 hk AS (SELECT 1 / least(greatest(CASE WHEN plain > 0 AND r > g THEN (spread / plain - g) / (r - g) ELSE 0.0001 END, 0.0001), 0.9) - 1 AS k
   FROM (SELECT sum(n * (x / n::DOUBLE - m) * (x / n::DOUBLE - m)) AS spread, sum(n * m * (1 - m)) / sum(n) AS plain, count(*) AS g, sum(n) AS r FROM h0)),
-h1 AS (SELECT host, n, (x + k * m) / (n + k) AS m, n + k AS total FROM h0, hk),
+everywhere AS (
+  SELECT host, regexp_replace(regexp_replace(host, '^[^@]*@', ''), '(:[0-9]*)?\.?$', '') AS b
+  FROM (SELECT DISTINCT host FROM parts WHERE host <> '') ANTI JOIN counted USING (host)),
+unseen AS (
+  SELECT host,
+    CASE WHEN regexp_matches(b, '^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$') THEN 'ip' ELSE split_part(b, '.', -1) END AS suffix,
+    CASE WHEN regexp_matches(b, '^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$') OR NOT contains(b, '.') THEN b
+         ELSE split_part(b, '.', -2) || '.' || split_part(b, '.', -1) END AS domain
+  FROM everywhere),
+h1 AS (
+  SELECT host, n, (x + k * m) / (n + k) AS m, n + k AS total FROM h0, hk
+  UNION ALL
+  SELECT host, 0, coalesce(d1.m, s1.m, m0), k
+  FROM unseen LEFT JOIN d1 USING (suffix, domain) LEFT JOIN s1 USING (suffix), overall, hk),
 known AS (SELECT host, n, m, greatest(m - 1.645 * sqrt(m * (1 - m) / (total + 1)), 0.0) AS bound,
     m - 1.645 * sqrt(m * (1 - m) / (total + 1)) > 0.35 AS blocked FROM h1),
 ruled AS (

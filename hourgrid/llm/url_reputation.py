@@ -119,8 +119,8 @@ def host_reputation(outcomes: DataFrame, settings: Reputation = Reputation(), ho
     their domain, else of their suffix, else of all labelled pages.
     """
     known = outcomes.where("host IS NOT NULL AND bad IS NOT NULL")
-    # Other hosts look the levels up again, so these are stored for them, to keep the plan small.
-    keep = store if hosts is not None else lambda level, _: level
+    # Each level is read several times; stored, it keeps the plan small.
+    keep = store
     counted = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("x"))
     counted = keep(counted.withColumns(_levels(F.col("host"))), "host-counts")
     domains = counted.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))

@@ -32,8 +32,26 @@ def test_unseen_hosts_back_off(spark):
 
 def test_every_page_with_a_host_has_a_posterior(spark):
     sf = "/root/testdata/sf0.001"
-    before = catalogue.op1_url_reputation(spark, sf)
-    after = catalogue.op1_url_reputation_all_hosts(spark, sf)
+    pages = catalogue.table(spark, sf, "pages")
+    labelled = url_reputation.host_reputation(catalogue._page_outcomes(spark, sf, pages))
+    before = url_reputation.judge_urls(pages, catalogue.RULES, labelled)
+    after = catalogue.op1_url_reputation(spark, sf)
     assert before.where("posterior_mean IS NULL AND host <> ''").count() > 0
     assert after.where("posterior_mean IS NULL AND host <> ''").count() == 0
     assert before.where("labelled > 0").exceptAll(after).count() == 0 and after.count() == before.count()
+
+
+def test_awkward_pages(spark):
+    """Null and repeated ids, no url, a column whose name the operator uses, and no pages at all."""
+    rows = [(1, "http://a.com/x", 1), (1, "http://a.com/x", 2), (None, None, 3), (2, "no scheme", 4), (3, "HTTP://New.Bad.org?q", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host int")
+    known = url_reputation.host_reputation(spark.createDataFrame([("bad.org", 1)] * 300 + [("good.net", 0)] * 300, "host string, bad int"), hosts=pages.select(url_reputation.host_of(F.col("url")).alias("host")))
+    found = url_reputation.judge_urls(pages, catalogue.RULES, known)
+    assert sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in found.collect()), key=str) == [
+        (1, "a.com", "/x", "com/", "allow"),
+        (1, "a.com", "/x", "com/", "allow"),
+        (2, "", "", None, "allow"),
+        (3, "new.bad.org", "", None, "block"),
+        (None, "", "", None, "allow"),
+    ]
+    assert url_reputation.judge_urls(pages.limit(0), catalogue.RULES, known).count() == 0
