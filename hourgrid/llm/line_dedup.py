@@ -76,7 +76,6 @@ def _variants(lines: DataFrame) -> DataFrame:
     """
     line = Window.partitionBy("h", "g")
     before = line.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    after = line.orderBy("at").rowsBetween(1, Window.unboundedFollowing)
     # A closing place after the last word has a gap, but no word.
     placed = lines.select(
         *_PLACE, "h", "g", "first_k", "last_k", F.size("words").alias("n"), F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "word")
@@ -89,8 +88,11 @@ def _variants(lines: DataFrame) -> DataFrame:
     summed = tagged.select(
         "*",
         F.coalesce(F.bit_xor("forth").over(before), F.lit(0)).alias("left"),
-        F.coalesce(F.bit_xor("back").over(after), F.lit(0)).alias("right"),
+        F.coalesce(F.bit_xor("back").over(before), F.lit(0)).alias("earlier"),
+        F.bit_xor("back").over(line).alias("whole"),
     )
+    # What comes after is the whole without what comes before and the word itself.
+    summed = summed.withColumn("right", F.col("whole").bitwiseXOR(F.col("earlier")).bitwiseXOR(F.col("back")))
     likely = (F.col("at") >= F.col("first_k")) | (F.col("at") <= F.col("n") - F.col("last_k"))
     key = lambda right, n: F.xxhash64("left", right, n, "at")
     gap = key(F.col("right").bitwiseXOR(F.col("back")), F.col("n"))
