@@ -43,6 +43,12 @@ def between_days(df: DataFrame, first: str, last: str, day: str = "load_date") -
     return df.where(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
+def in_years(df: DataFrame, first: int, last: int, day: str = "load_date") -> DataFrame:
+    """Days of the years from ``first`` to ``last``; where the table has ``load_year`` its folders are pruned by it."""
+    days = between_days(df, f"{first}-01-01", f"{last}-12-31", day)
+    return days.where(F.col("load_year").between(first, last)) if "load_year" in df.columns else days
+
+
 def around_peak(df: DataFrame, load: str, days: int = 3, day: str = "load_date") -> DataFrame:
     """All rows up to ``days`` days away from the day of the largest load (its first occurrence).
 

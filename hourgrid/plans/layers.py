@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from hourgrid.fixed import HISTORICAL, VALIDATION
@@ -19,6 +21,8 @@ GOLD_DAILY = "gold.caiso_daily_summary"
 GOLD_TOU = "gold.system_load_monthly_tou_summary"
 
 STAGES = [HISTORICAL, VALIDATION]
+# A filter on stage or year lists only the folders of those; inside a file rows are in the order of their dates.
+BY_YEAR = ["source_stage", "load_year"]
 
 
 def rebuild_layers(
@@ -33,9 +37,9 @@ def rebuild_layers(
     tables.create_layers(spark, location)
     built: dict[str, DataFrame] = {}
 
-    def keep(name: str, rows: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    def keep(name: str, rows: DataFrame, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> DataFrame:
         path = f"{location}/{name.replace('.', '/')}" if location else None
-        built[name] = tables.rebuild_table(rows, name, partition_by or [], path)
+        built[name] = tables.rebuild_table(rows, name, partition_by, path, sort_by)
         return built[name]
 
     loads, weather = (
@@ -45,10 +49,10 @@ def rebuild_layers(
             (BRONZE_WEATHER, text.read_raw_weather, weather_paths),
         )
     )
-    silver = keep(SILVER_LOADS, medallion.silver_loads(*loads), ["source_stage"])
-    silver_weather = keep(SILVER_WEATHER, medallion.silver_weather(*weather), ["source_stage"])
-    gold = keep(GOLD_FEATURES, medallion.gold_features(silver), ["source_stage"])
-    keep(GOLD_LOAD_WEATHER, medallion.gold_load_weather(gold, silver_weather), ["source_stage"])
+    silver = keep(SILVER_LOADS, medallion.silver_loads(*loads), ["source_stage"], ["load_date"])
+    silver_weather = keep(SILVER_WEATHER, medallion.silver_weather(*weather), ["source_stage"], ["weather_date"])
+    gold = keep(GOLD_FEATURES, medallion.gold_features(silver), BY_YEAR, ["load_date"])
+    keep(GOLD_LOAD_WEATHER, medallion.gold_load_weather(gold, silver_weather), BY_YEAR, ["load_date"])
     keep(GOLD_DAILY, medallion.gold_daily_summary(gold))
     keep(GOLD_TOU, medallion.gold_monthly_tou(gold))
     return built

@@ -107,3 +107,17 @@ def reindex_days(spark, sf):
     """No Wednesday in the data: the day stays, with NULL."""
     rows = features.add_day_name(inputs.readings(spark, sf)).where(F.col("day_of_week") != 2)
     return joins.in_day_order(summary.mean_by(rows, ["day_name"]), "day_name")
+
+
+@register(
+    "c07_reindex_days_whole",
+    sql.readings(
+        f"""SELECT CAST(o AS INT) AS day_order, d AS day_name, average_caiso_load_mw
+FROM (VALUES (1, 'Monday'), (2, 'Tuesday'), (3, 'Wednesday'), (4, 'Thursday'), (5, 'Friday'),
+  (6, 'Saturday'), (7, 'Sunday')) AS days(o, d)
+LEFT JOIN (SELECT DAYNAME(load_date) AS d, {sql.mean("caiso_mw")} AS average_caiso_load_mw FROM r_rows GROUP BY 1) USING (d)"""
+    ),
+)
+def reindex_days_whole(spark, sf):
+    rows = features.add_day_name(inputs.readings(spark, sf))
+    return joins.in_day_order(summary.mean_by(rows, ["day_name"]), "day_name")
