@@ -1,17 +1,22 @@
-"""Linear models on calendar classes, lags and temperatures, fitted by ``pyspark.ml``."""
+"""Linear models on calendar classes, lags and temperatures, all fitted from one matrix of products."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.fixed import FOUR_CITIES, TERRITORY_CITIES
 
+# Rows multiplied together, tasks in which matrices meet, and the share of its own below which a column counts as dependent.
+TOGETHER = 2_048
+ADDERS = 16
+DEPENDENT = 1e-11
+
 # Calendar classes: number of codes, and the code of a row counted from 0.
 CLASSES = {
     "hour": (24, lambda: F.col("hour_ending") - 1),
@@ -62,76 +67,145 @@ def _lookup(name: str, values: dict[int, float]) -> Column:
     return F.get(F.expr(f"array({', '.join(cells)})"), code())
 
 
-def _place(name: str, levels: Sequence[int]) -> Column:
-    """Index of the row's code among ``levels``."""
-    return _lookup(name, {level: float(place) for place, level in enumerate(levels)})
-
-
-def _nominal(column: Column, name: str, size: int) -> Column:
-    """Tell the encoder the number of classes, which saves it a pass over the data."""
-    return column.alias(name, metadata={"ml_attr": {"name": name, "type": "nominal", "num_vals": size}})
-
-
 @dataclass
 class FittedOls:
+    """Intercept, an effect per trained code of each class, a slope per numeric column."""
+
     spec: OlsSpec
-    levels: dict[str, list[int]]
-    model: LinearRegressionModel
-
-    def effects(self) -> tuple[float, dict[str, list[float]], dict[str, float]]:
-        """Intercept, one effect per known level of each class, one slope per numeric column."""
-        weights = self.model.coefficients.toArray().tolist()
-        by_class = {}
-        for name, known in self.levels.items():
-            # The last level is the reference level, so it has no weight of its own.
-            by_class[name] = [*weights[: len(known) - 1], 0.0]
-            weights = weights[len(known) - 1 :]
-        return self.model.intercept, by_class, dict(zip(self.spec.numeric, weights))
+    intercept: float
+    effects: dict[str, dict[int, float]]
+    slopes: dict[str, float]
 
     def forecast(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` with its forecast; NULL where a predictor is missing or a class was never trained.
 
         The forecast is one column expression, looked up and summed: no vector, no join.
         """
-        intercept, by_class, slopes = self.effects()
-        total = F.lit(intercept)
-        for class_name, effects in by_class.items():
-            total = total + _lookup(class_name, dict(zip(self.levels[class_name], effects)))
-        for column, slope in slopes.items():
+        total = F.lit(self.intercept)
+        for class_name, effects in self.effects.items():
+            total = total + _lookup(class_name, effects)
+        for column, slope in self.slopes.items():
             total = total + F.col(column).cast("double") * slope
         return df.withColumn(name, total)
 
 
-def _design(complete: DataFrame, spec: OlsSpec, levels: dict[str, list[int]]) -> DataFrame:
-    """Add the sparse vector ``_design``: one column per level but the last, then the numbers."""
-    classes = [_nominal(_place(c, known), f"_class_{c}", len(known)) for c, known in levels.items()]
-    numeric = [F.col(c).cast("double").alias(f"_x_{c}") for c in spec.numeric]
-    ready = complete.select(F.col(spec.actual).cast("double").alias("_actual"), *classes, *numeric)
-    inputs = [f"_class_{c}" for c in levels]
-    outputs = [f"_hot_{c}" for c in levels]
-    encoded = OneHotEncoder(inputCols=inputs, outputCols=outputs, dropLast=True).fit(ready).transform(ready)
-    return VectorAssembler(
-        inputCols=[*outputs, *[f"_x_{c}" for c in spec.numeric]], outputCol="_design"
-    ).transform(encoded)
-
+@dataclass(frozen=True)
+class _Layout:
+    """Columns of the joint matrix: a one, every code of every class, every number; and the bit that says a class or number is missing."""
 
-def fit_ols(train: DataFrame, spec: OlsSpec) -> FittedOls:
-    """Ordinary least squares on the rows without gaps.
+    classes: tuple[str, ...]
+    numeric: tuple[str, ...]
 
-    One pass finds the classes that occur (at most 288), one adds up the products; neither shuffles
-    rows.
+    @staticmethod
+    def of(specs: Sequence[OlsSpec]) -> _Layout:
+        classes = dict.fromkeys(c for spec in specs for c in spec.classes)
+        numeric = dict.fromkeys(n for spec in specs for n in (*spec.numeric, spec.actual))
+        return _Layout(tuple(classes), tuple(numeric))
+
+    @property
+    def starts(self) -> dict[str, int]:
+        """Where the codes of a class begin, or where a number is."""
+        found, at = {}, 1
+        for name in self.classes:
+            found[name] = at
+            at += CLASSES[name][0]
+        return found | {name: at + i for i, name in enumerate(self.numeric)}
+
+    @property
+    def width(self) -> int:
+        return 1 + sum(CLASSES[c][0] for c in self.classes) + len(self.numeric)
+
+    def missing(self, names: Sequence[str]) -> int:
+        places = {name: i for i, name in enumerate((*self.classes, *self.numeric))}
+        return sum(1 << places[name] for name in names)
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        codes = [CLASSES[c][1]().cast("int").alias(f"_c_{c}") for c in self.classes]
+        return df.select(*codes, *[F.col(n).cast("double").alias(f"_x_{n}") for n in self.numeric])
+
+    def products(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a task's rows the products of all columns, apart for each set of missing values; a row a set."""
+        sums: dict[int, np.ndarray] = {}
+        starts, width = self.starts, self.width
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                design, gaps = np.zeros((part.num_rows, width)), np.zeros(part.num_rows, np.int64)
+                design[:, 0] = 1
+                for place, (kind, name) in enumerate([*(("_c_", c) for c in self.classes), *(("_x_", n) for n in self.numeric)]):
+                    values = part.column(kind + name).to_numpy(zero_copy_only=False).astype(np.float64)
+                    there = ~np.isnan(values)
+                    gaps |= ~there * np.int64(1 << place)
+                    if kind == "_x_":
+                        design[there, starts[name]] = values[there]
+                    else:
+                        design[np.flatnonzero(there), starts[name] + values[there].astype(np.int64)] = 1
+                for gap in np.unique(gaps).tolist():
+                    own = design[gaps == gap]
+                    sums[gap] = sums.get(gap, 0) + own.T @ own
+        yield from _as_rows(sums)
+
+
+def _as_rows(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for gap, matrix in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([gap], pa.int64()), pa.array([matrix.tobytes()], pa.binary())], names=["gap", "matrix"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for gap, matrix in zip(batch.column("gap").to_pylist(), batch.column("matrix")):
+            sums[gap] = sums.get(gap, 0) + np.frombuffer(matrix.as_buffer(), np.float64)
+    yield from _as_rows(sums)
+
+
+def _solved(spec: OlsSpec, layout: _Layout, sums: dict[int, np.ndarray]) -> FittedOls:
+    """Least squares on the rows that have all the spec's columns, from their part of the matrix.
+
+    Codes that occur in them are known, the last one of a class is the reference. Columns are centred by the products with the
+    one and scaled; those that depend on others get the share that makes the solution shortest.
+    """
+    wanted = layout.missing([*spec.classes, *spec.numeric, spec.actual])
+    total = sum((m for gap, m in sums.items() if not gap & wanted), np.zeros((layout.width, layout.width)))
+    starts, n = layout.starts, total[0, 0]
+    known = {c: [k for k in range(CLASSES[c][0]) if total[starts[c] + k, starts[c] + k] > 0] for c in spec.classes}
+    places = [starts[c] + k for c in spec.classes for k in known[c][:-1]] + [starts[x] for x in spec.numeric]
+    both = [*places, starts[spec.actual]]
+    means = total[0, both] / max(n, 1)
+    centred = total[np.ix_(both, both)] - n * np.outer(means, means)
+    scale = np.sqrt(np.maximum(np.diag(centred), 0))
+    scale[scale == 0] = 1.0
+    scaled = centred / np.outer(scale, scale)
+    weights = np.linalg.pinv(scaled[:-1, :-1], rcond=DEPENDENT, hermitian=True) @ scaled[:-1, -1] * scale[-1] / scale[:-1]
+    left, effects = iter(weights.tolist()), {}
+    for c in spec.classes:
+        effects[c] = {k: next(left) for k in known[c][:-1]} | dict.fromkeys(known[c][-1:], 0.0)
+    return FittedOls(spec, float(means[-1] - weights @ means[:-1]), effects, dict(zip(spec.numeric, left)))
+
+
+def fit_specs(train: DataFrame, specs: Mapping[str, OlsSpec]) -> dict[str, FittedOls]:
+    """Ordinary least squares of several specs, each on the rows without gaps in its own columns, in one pass over ``train``.
+
+    Tasks return a matrix for each set of missing values they meet; these meet in ADDERS tasks, of which the driver gets one
+    each. A matrix has a row for every code and number, some hundred, whatever the number of rows.
     """
-    complete = train.dropna(subset=[spec.actual, *spec.numeric])
-    found = complete.agg(*[F.array_sort(F.collect_set(CLASSES[c][1]())).alias(c) for c in spec.classes]).first()
-    levels = {c: list(found[c]) for c in spec.classes}
-    design = _design(complete, spec, levels).select("_design", "_actual")
-    solver = LinearRegression(featuresCol="_design", labelCol="_actual", solver="normal", regParam=0.0)
-    return FittedOls(spec, levels, solver.fit(design))
+    layout = _Layout.of(list(specs.values()))
+    schema = "gap long, matrix binary"
+    parts = layout.rows(train).mapInArrow(layout.products, schema).repartition(ADDERS).mapInArrow(_added, schema).collect()
+    sums: dict[int, np.ndarray] = {}
+    for part in parts:
+        own = np.frombuffer(part["matrix"], np.float64).reshape(layout.width, layout.width)
+        sums[part["gap"]] = sums.get(part["gap"], 0) + own
+    return {name: _solved(spec, layout, sums) for name, spec in specs.items()}
+
+
+def fit_ols(train: DataFrame, spec: OlsSpec) -> FittedOls:
+    return fit_specs(train, {"one": spec})["one"]
 
 
 def fit_territories(train: DataFrame, specs: dict[str, OlsSpec] = TERRITORY_SPECS) -> dict[str, FittedOls]:
-    """One model per territory; store ``train`` first, every fit reads only the columns it needs."""
-    return {territory: fit_ols(train, spec) for territory, spec in specs.items()}
+    """One model per territory."""
+    return fit_specs(train, specs)
 
 
 def forecast_territories(df: DataFrame, fitted: dict[str, FittedOls]) -> DataFrame:

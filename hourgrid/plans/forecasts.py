@@ -58,7 +58,7 @@ def final_validation(
 ) -> DataFrame:
     """All test rows with the territory, regional and forest forecasts.
 
-    ``frame`` is read by five fits and the forecast, so pass a stored table; ``fitted`` is a forest trained on the
+    ``frame`` is read by two fits and the forecast, so pass a stored table; ``fitted`` is a forest trained on the
     same split, if there is one already.
     """
     train, test = features.split_by_year(frame, last_train_year)
@@ -66,6 +66,38 @@ def final_validation(
     return (fitted or forest.fit_forest(train, settings=settings)).forecast(regional)
 
 
+# Every model by the column of its forecast; the base of comparison comes first.
+ALL_MODELS = {
+    "naive_168": "caiso_lag_168_mw",
+    "naive_24": "caiso_lag_24_mw",
+    "ols_basic": "forecast_basic",
+    "ols_interaction": "forecast_interaction",
+    "ols_weather": "forecast_weather",
+    "regional_ols": "forecast_regional",
+    "random_forest": "forecast_rf",
+}
+
+
+def all_forecasts(frame: DataFrame, last_train_year: int, fitted: forest.FittedForest | None = None) -> DataFrame:
+    """The rows of the test year with the forecasts of every model; all regressions come from one pass over the training rows.
+
+    The naive forecasts are the lags that the frame has. Without a forest its column is missing.
+    """
+    train, test = features.split_by_year(frame, last_train_year)
+    single = {"basic": regression.BASIC, "interaction": regression.INTERACTION, "weather": regression.WEATHER}
+    models = regression.fit_specs(train, {**single, **regression.TERRITORY_SPECS})
+    for name in single:
+        test = models[name].forecast(test, f"forecast_{name}")
+    test = regression.forecast_territories(test, {t: models[t] for t in regression.TERRITORY_SPECS})
+    return fitted.forecast(test) if fitted else test
+
+
+def all_scores(results: DataFrame) -> DataFrame:
+    """Leaderboard of the models that ``results`` has, against the weekly naive forecast."""
+    there = {model: column for model, column in ALL_MODELS.items() if column in results.columns}
+    return errors.leaderboard(results, "caiso_mw", there, next(iter(ALL_MODELS)))
+
+
 def validation_scores(results: DataFrame) -> DataFrame:
     """Leaderboard of the regional sum and the forest."""
     models = {"regional_ols": "forecast_regional", "random_forest": "forecast_rf"}

@@ -182,6 +182,44 @@ def final_leaderboard(spark, sf):
     return rounded(forecasts.validation_scores(_final(spark, sf)))
 
 
+def _all_models():
+    """Scores of every model but the forest, each on the rows that it has a forecast for."""
+    specs = {"ols_basic": regression.BASIC, "ols_interaction": regression.INTERACTION, "ols_weather": regression.WEATHER}
+    parts = [ols_sql.forecast(spec, inputs.LAST_TRAIN_YEAR, name) for name, spec in specs.items()]
+    test = f"y = {inputs.LAST_TRAIN_YEAR + 1}"
+    bodies = [
+        f"SELECT '{model}' AS model, {ols_sql.score(ACTUAL, f'CAST(caiso_lag_{h}_mw AS DOUBLE)', 12)} FROM frame WHERE {test} AND caiso_lag_{h}_mw IS NOT NULL"
+        for model, h in (("naive_168", 168), ("naive_24", 24))
+    ]
+    bodies += [f"SELECT '{name}', {ols_sql.score(ACTUAL, f'{name}.f', 12)} FROM frame JOIN {name} USING (row_ix)" for name in specs]
+    bodies.append(f"SELECT 'regional_ols', {ols_sql.score(ACTUAL, f'({_SUM})', 12)} FROM {_ALL}")
+    union = "\nUNION ALL ".join(bodies)
+    return ols_sql.query(
+        [*parts, *_territories(inputs.LAST_TRAIN_YEAR)],
+        f"""SELECT model, scored_rows, ROUND(mae, {DIGITS}) AS mae, ROUND(rmse, {DIGITS}) AS rmse, ROUND(mape, {DIGITS}) AS mape,
+  ROUND((mae - base) / base * 100, 3) AS mae_change_pct
+FROM (SELECT *, MAX(CASE WHEN model = 'naive_168' THEN mae END) OVER () AS base FROM ({union}))""",
+    )
+
+
+def _board(results):
+    board = rounded(forecasts.all_scores(results))
+    return board.withColumn("mae_change_pct", F.round("mae_change_pct", 3))
+
+
+@register("j17_all_models_leaderboard", _all_models())
+def all_models_leaderboard(spark, sf):
+    """Two naive forecasts, three regressions and the regional sum in one table."""
+    return _board(forecasts.all_forecasts(frame(spark, sf), inputs.LAST_TRAIN_YEAR))
+
+
+@register("j17_all_models_leaderboard_forest")
+def all_models_leaderboard_forest(spark, sf):
+    """The same with the forest."""
+    rows, fitted = _forest(spark, sf)
+    return _board(forecasts.all_forecasts(rows, inputs.LAST_TRAIN_YEAR, fitted))
+
+
 def _report(results, forecast):
     """The scored tables of the report, stacked."""
     report = error_report.error_report(results, "caiso_mw", forecast)

@@ -105,3 +105,24 @@ def test_modelling_frame_lags_every_load(signal):
     lags = order.load_lags(LOADS)
     assert set(lags) <= set(signal.columns)
     assert signal.where("row_ix < 24 and pge_lag_24_mw is not null").count() == 0
+
+
+def test_specs_fitted_together_keep_their_own_rows(signal):
+    """Gaps differ by column, so every spec has its own complete rows in the one matrix."""
+    holed = signal.withColumns(
+        {
+            "caiso_lag_24_mw": F.when(F.col("row_ix") % 7 != 0, F.col("caiso_lag_24_mw")),
+            "temp_fresno_f": F.when(F.col("row_ix") % 5 != 0, F.col("temp_fresno_f")),
+            "vea_mw": F.when(F.col("row_ix") % 11 != 0, F.col("vea_mw")),
+        }
+    )
+    train, test = features.split_by_year(holed, 2021)
+    specs = {"basic": regression.BASIC, **regression.TERRITORY_SPECS}
+    together = regression.fit_specs(train.repartition(5), specs)
+    for name in ("basic", "pge", "vea"):
+        spec = specs[name]
+        alone = regression.fit_ols(train.dropna(subset=[spec.actual, *spec.numeric]), spec)
+        assert alone.slopes == pytest.approx(together[name].slopes, rel=1e-6)
+        assert alone.intercept == pytest.approx(together[name].intercept, rel=1e-6)
+    nothing = regression.fit_ols(train.limit(0), regression.BASIC)
+    assert nothing.forecast(test, "f").where("f IS NOT NULL").count() == 0
