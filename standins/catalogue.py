@@ -13,6 +13,7 @@ from standins import (  # noqa: F401
     section_i,
     section_j,
     section_k,
+    section_long,
 )
 
 FLAGSHIP = "k06_gold_monthly_tou"
