@@ -33,6 +33,8 @@ ADF_HOPELESS = 2.74
 ADF_LEFT = [2.1659, 1.4412, 0.038269]
 ADF_RIGHT = [1.7339, 0.93202, -0.12745, -0.010368]
 
+# From so many lags on a span's products come from a transform.
+TRANSFORM_FROM = 32
 # Lag products taken before the bandwidth is known; most bandwidths lie below.
 KPSS_FIRST_PASS = 200
 SPAN_BLOCK = 4_096
@@ -79,6 +81,21 @@ class Series:
         return with_halo(self.rows.withColumn("x", F.col("x").cast("double")), reach, span, "ix")
 
 
+def _lag_products(e: np.ndarray, own: int, max_lag: int) -> np.ndarray:
+    """Sums of e[t] e[t - k] over t from ``own`` on, for k up to ``max_lag``: few by themselves, many by one transform.
+
+    The values before ``own`` are the span's overlap with the one before. Padding by the largest lag keeps the ends
+    of the circular product apart, so its cost no longer is rows times lags.
+    """
+    if max_lag < TRANSFORM_FROM:
+        starts = [max(own, k) for k in range(max_lag + 1)]
+        return np.array([float(e[s:] @ e[s - k : max(len(e) - k, s - k)]) for k, s in enumerate(starts)])
+    size = 1 << int(len(e) + max_lag).bit_length()
+    home = np.where(np.arange(len(e)) < own, 0.0, e)
+    spectrum = np.fft.rfft(home, size) * np.conj(np.fft.rfft(e, size))
+    return np.fft.irfft(spectrum, size)[: max_lag + 1]
+
+
 def series_sums(series: Series, max_lag: int, span: int = SERIES_SPAN) -> SeriesSums:
     """Lag products of the centred series, and what ``squared_path`` needs of every span."""
     mean = series.mean
@@ -90,11 +107,7 @@ def series_sums(series: Series, max_lag: int, span: int = SERIES_SPAN) -> Series
         own = int((part["ix"].to_numpy() < key[0] * span).sum())
         home = e[own:]
         path = np.cumsum(home)
-        products = [float(home @ home)]
-        for k in range(1, max_lag + 1):
-            start = max(own, k)
-            stop = max(len(e) - k, start - k)
-            products.append(float(e[start:] @ e[start - k : stop]))
+        products = _lag_products(e, own, max_lag).tolist()
         return pd.DataFrame(
             {
                 "span": [key[0]],

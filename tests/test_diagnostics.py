@@ -108,3 +108,14 @@ def test_lag_correlation(spark):
     rows = {r["lag"]: r.correlation for r in D.lag_correlations(frame(spark, x), "x", [1, 24]).collect()}
     for k, r in rows.items():
         assert r == pytest.approx(np.corrcoef(x[k:], x[:-k])[0, 1], abs=1e-7)
+
+
+@pytest.mark.parametrize("own, lags", [(0, 40), (70, 64), (300, 300), (5, 200)])
+def test_transformed_lag_products_equal_direct_ones(monkeypatch, own, lags):
+    e = np.random.default_rng(own).normal(0, 100, 900)
+    quick = D._lag_products(e, own, lags)
+    monkeypatch.setattr(D, "TRANSFORM_FROM", 10_000)
+    direct = D._lag_products(e, own, lags)
+    assert np.abs(quick - direct).max() <= 1e-9 * direct[0]
+    expected = [sum(e[t] * e[t - k] for t in range(max(own, k), 900)) for k in range(lags + 1)]
+    assert direct == pytest.approx(expected, rel=1e-9, abs=1e-6)
