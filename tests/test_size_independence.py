@@ -68,3 +68,10 @@ def test_payloads_over_several_lines(spark, tmp_path):
     (tmp_path / "bad_2024.json").write_text("{not json")
     with pytest.raises(Exception, match="no hourly payload"):
         payload.read_hourly_payloads(spark, str(tmp_path)).collect()
+
+
+def test_payload_lists_of_different_lengths_stop_the_read(spark, tmp_path):
+    one = {"hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "temperature_2m": [1.5]}}
+    (tmp_path / "poway_2024.json").write_text(json.dumps(one))
+    with pytest.raises(Exception, match="hours without temperatures of city poway"):
+        payload.read_hourly_payloads(spark, str(tmp_path)).collect()
