@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 # What a Python worker remembers of each kind; workers are used again by later stages.
 CACHE_ENTRIES = 100_000
+# Longer words are not remembered: in scripts without spaces a word may be a paragraph.
+KEPT_WORD = 64
+# Bytes of text that a function gets at a time.
+SLICE_BYTES = 2 << 20
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -40,14 +45,28 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def sliced(batches: Batches, column: str = "text") -> Batches:
+    """The rows in batches of some SLICE_BYTES of text, a longer text alone; so what is made of one batch stays small."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``mapInArrow`` of a function from a batch to columns, in the order of ``schema``."""
+    """``mapInArrow`` of a function from a batch to columns, in the order of ``schema``; texts come a few at a time."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in sliced(batches) if has_text else batches:
             if batch.num_rows:
                 yield as_batch(fn(batch))
 
+    has_text = "text" in df.columns
+
     return df.mapInArrow(run, schema)
 
 
@@ -104,9 +123,11 @@ class WordHashes(dict):
         self.clean = clean
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        found = self[word] = int.from_bytes(hashlib.blake2b(self.clean(word), digest_size=8).digest(), "little")
+        found = int.from_bytes(hashlib.blake2b(self.clean(word), digest_size=8).digest(), "little")
+        if len(word) <= KEPT_WORD:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = found
         return found
 
     def of(self, text: str) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import CACHE_ENTRIES, Batches, as_batch, remainder, remember_in, strings
+from hourgrid.llm.common import CACHE_ENTRIES, KEPT_WORD, Batches, as_batch, remainder, remember_in, sliced, strings
 from hourgrid.sources.scratch import store
 
 # Features of which the fit takes note: the most telling ones of the sample, each in so many documents at least.
@@ -44,9 +44,11 @@ def features(word: str) -> tuple[int, ...]:
 
 class _Features(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        found = self[word] = features(word)
+        found = features(word)
+        if len(word) <= KEPT_WORD:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -99,17 +101,20 @@ def _bags(chosen: list[int]):
         """(label, ids, ends): the chosen features of a document and where each sentence's end."""
         known: dict[str, list[int]] = {}
         remember_in(known)
-        for batch in batches:
+        for batch in sliced(batches):
             bags, ends = [], []
             for text in strings(batch):
                 ids, own = [], []
                 for start, end in sentences(text):
                     for word in set(_WORD.findall(text[start:end].lower())):
-                        if word not in known:
-                            if len(known) >= CACHE_ENTRIES:
-                                known.clear()
-                            known[word] = [place[f] for f in features(word) if f in place]
-                        ids.extend(known[word])
+                        found = known.get(word)
+                        if found is None:
+                            found = [place[f] for f in features(word) if f in place]
+                            if len(word) <= KEPT_WORD:
+                                if len(known) >= CACHE_ENTRIES:
+                                    known.clear()
+                                known[word] = found
+                        ids.extend(found)
                     own.append(len(ids))
                 bags.append(ids)
                 ends.append(own)
@@ -210,9 +215,11 @@ class _Scores(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        found = self[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        found = sum(self.weights.get(f, 0.0) for f in features(word))
+        if len(word) <= KEPT_WORD:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -240,9 +247,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Batches) -> Batches:
         scores = _Scores(shared.value.weights)
         remember_in(scores)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             found = [judge(t, scores, shared.value.bias) for t in strings(batch)]
             score, start, end, worst, count = zip(*found)
             yield as_batch(
@@ -268,7 +273,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Batches) -> Batches:
         scores = _Scores(shared.value.weights)
         remember_in(scores)
-        for batch in batches:
+        for batch in sliced(batches):
             kept = [judge(t, scores, shared.value.bias)[0] < THRESHOLD for t in strings(batch)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
