@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import Batches, WordHashes, as_batch, bitmap_of, map_rows, may_be_in, shingles, strings
+from hourgrid.llm.common import Batches, WordHashes, as_batch, bitmap_of, map_rows, may_be_in, shingles, sliced, strings
 from hourgrid.sources.scratch import store
 
 MIN_TILE = 5
@@ -26,43 +26,51 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = MIN_TILE) -> list[tupl
     """(item position, document position, length) of a greedy tiling, longest tiles first.
 
     Again and again the longest match of unmarked tokens is marked on both sides; of equally long ones the first in
-    the item, then in the document. Matches start where Karp-Rabin hashes of ``least`` tokens agree, and
-    are extended over the tokens themselves.
+    the item, then in the document. Matches start where Karp-Rabin hashes of ``least`` tokens agree and the tokens do.
+    Such places lie on diagonals; a match is a run of them, as long as the run and ``least`` - 1 tokens more. A round looks at
+    all places as arrays.
     """
     if len(item) < least or len(doc) < least:
         return []
-    of_item, of_doc = shingles(item, least), shingles(doc, least)
-    order = np.argsort(of_doc, kind="stable")
-    low = np.searchsorted(of_doc, of_item, "left", sorter=order)
-    high = np.searchsorted(of_doc, of_item, "right", sorter=order)
-    seeds = [(i, int(j)) for i in np.flatnonzero(high > low) for j in order[low[i] : high[i]]]
-    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
+    i, j = _seeds(item, doc, least)
+    marked_item, marked_doc = np.zeros(len(item) + 1, np.int64), np.zeros(len(doc) + 1, np.int64)
     found = []
-    while seeds:
-        kept = []
-        ends: dict[tuple[int, int], int] = {}
-        for i, j in sorted(seeds, reverse=True):
-            if not (free_item[i : i + least].all() and free_doc[j : j + least].all()) or (item[i : i + least] != doc[j : j + least]).any():
-                continue
-            after = ends.get((i + 1, j + 1), 0)
-            length = after + 1 if after else _run(item, doc, free_item, free_doc, i, j, least)
-            ends[i, j] = length
-            kept.append((i, j))
-        if not kept:
+    while len(i):
+        before_item, before_doc = np.cumsum(marked_item) - marked_item, np.cumsum(marked_doc) - marked_doc
+        free = (before_item[i + least] == before_item[i]) & (before_doc[j + least] == before_doc[j])
+        i, j = i[free], j[free]
+        if not len(i):
             break
-        best = max(ends.values())
-        for i, j in sorted(p for p, n in ends.items() if n == best):
-            if free_item[i : i + best].all() and free_doc[j : j + best].all():
-                free_item[i : i + best] = free_doc[j : j + best] = False
-                found.append((int(i), int(j), int(best)))
-        seeds = kept
+        last = np.flatnonzero(np.append((np.diff(i) != 1) | (np.diff(j) != 1), True))
+        ends = i[last[np.searchsorted(last, np.arange(len(i)))]]
+        length = ends - i + least
+        best = int(length.max())
+        x, y = i[length == best], j[length == best]
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        while len(x):
+            at, there = int(x[0]), int(y[0])
+            marked_item[at : at + best] = marked_doc[there : there + best] = 1
+            found.append((at, there, best))
+            apart = (np.abs(x - at) >= best) & (np.abs(y - there) >= best)
+            x, y = x[apart], y[apart]
     return found
 
 
-def _run(item, doc, free_item, free_doc, i: int, j: int, length: int) -> int:
-    while i + length < len(item) and j + length < len(doc) and free_item[i + length] and free_doc[j + length] and item[i + length] == doc[j + length]:
-        length += 1
-    return length
+def _seeds(item: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both where ``least`` tokens agree, by diagonal and along it."""
+    of_item, of_doc = shingles(item, least), shingles(doc, least)
+    order = np.argsort(of_doc, kind="stable")
+    low = np.searchsorted(of_doc, of_item, "left", sorter=order)
+    count = np.searchsorted(of_doc, of_item, "right", sorter=order) - low
+    i = np.repeat(np.arange(len(of_item)), count)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+    same = np.ones(len(i), bool)
+    for k in range(least):
+        same &= item[i + k] == doc[j + k]
+    i, j = i[same], j[same]
+    along = np.lexsort((i, j - i))
+    return i[along], j[along]
 
 
 def _item_seeds(batch: pa.RecordBatch) -> dict:
@@ -89,7 +97,7 @@ def _hits(shared):
     def run(batches: Batches) -> Batches:
         """Documents with a seed that may be one of the benchmark's, and those seeds."""
         table = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             rows, seeds = [], []
             for i, text in enumerate(strings(batch)):
                 words = tokens(text)
