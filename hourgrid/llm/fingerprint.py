@@ -15,6 +15,8 @@ from hourgrid.llm.common import Batches, as_batch, strings
 from hourgrid.sources.scratch import store
 
 LANES = 128
+# Code points of a text that help to divide the rows of one id.
+BEGINNING = 64
 _CUT = re.compile(r"\n|(?<=[.!?]) ")
 
 _ROW = """doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,
@@ -167,24 +169,21 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     paragraphs are equal in another order, have equal fingerprints. Extra columns are not read; an empty
     table gives an empty one.
 
-    Documents are sorted by range, not into one partition; what crosses two ranges is their first and
-    last document, two rows a range, kept in a stored table.
+    Documents are sorted by range of id and beginning of the text, not into one partition; what crosses two ranges is their
+    first and last document, two rows a range, kept in a stored table.
     """
     order = [F.desc_nulls_last("doc_id"), F.desc_nulls_last("text")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = texts.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    # The texts' beginnings divide the rows of one id too, in the same order.
+    ranged = texts.repartitionByRange(order[0], F.desc(F.substring("text", 1, BEGINNING))).sortWithinPartitions(*order)
     walked = store(ranged.mapInArrow(_walk, f"{_ROW}, {_EDGE}"), "fingerprints")
     rows = walked.where("role = 'row'").drop("bucket", "role", "edge_id", "text")
-    # One row a range and role: bounded by the number of partitions.
-    by_bucket = Window.partitionBy(F.lit(0)).orderBy("bucket")
-    heads = walked.where("role = 'head'").select("bucket", F.col("text").alias("head_text"))
+    heads = walked.where("role = 'head'").select("bucket", F.col("text").alias("next_text"))
     tails = walked.where("role = 'tail'").select("bucket", "edge_id", "text")
-    both = tails.join(heads, "bucket")
-    ring = both.withColumn(
-        "next_text",
-        F.coalesce(
-            F.lead("head_text").over(by_bucket),
-            F.first("head_text").over(by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        ),
-    ).select("edge_id", "text", "next_text")
+    # The numbers of the ranges that have rows, without texts: one for each partition.
+    numbers = Window.partitionBy(F.lit(0)).orderBy("bucket")
+    whole = numbers.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = F.coalesce(F.lead("bucket").over(numbers), F.first("bucket").over(whole))
+    pairs = heads.select("bucket").withColumn("next_bucket", following)
+    ring = tails.join(pairs, "bucket").join(heads.withColumnRenamed("bucket", "next_bucket"), "next_bucket").select("edge_id", "text", "next_text")
     return rows.unionByName(ring.mapInArrow(_close, _ROW))
