@@ -106,20 +106,29 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class PieceIds(dict):
-    """Ids of short pre-tokens as little-endian 32-bit bytes, kept for those seen lately."""
+    """Ids of short pre-tokens as little-endian 32-bit bytes, ``entries`` at most: when half of them are new, those that have not
+    been met since the last time go.
+    """
 
     def __init__(self, ranks: dict[bytes, int], entries: int):
         super().__init__()
-        self.ranks, self.entries = ranks, entries
+        self.ranks, self.entries, self.earlier = ranks, entries, {}
 
     def __missing__(self, piece: str) -> bytes:
-        found = array("I", merge_piece(piece.encode("utf-8"), self.ranks)).tobytes()
+        found = self.earlier.get(piece)
+        if found is None:
+            found = array("I", merge_piece(piece.encode("utf-8"), self.ranks)).tobytes()
         if len(piece) <= KEPT_PIECE:
-            if len(self) >= self.entries:
-                self.clear()
+            if 2 * len(self) >= self.entries:
+                self.earlier = dict(self)
+                super().clear()
             self[piece] = found
         return found
 
+    def clear(self) -> None:
+        super().clear()
+        self.earlier = {}
+
 
 @lru_cache(2)
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -140,8 +149,19 @@ def _encoder(path: str, pattern: str, entries: int = CACHE_ENTRIES):
 
 @lru_cache(2)
 def _decoder(path: str):
+    """From ids to bytes: all tokens lie one after another in one table, from which the ids' spans are taken together."""
     tokens = {rank: token for token, rank in read_ranks(path).items()}
-    return lambda ids: b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    lengths = np.array([len(tokens.get(rank, b"")) for rank in range(max(tokens) + 1)], np.int64)
+    table = np.frombuffer(b"".join(tokens[rank] for rank in sorted(tokens)), np.uint8)
+    starts = np.cumsum(lengths) - lengths
+
+    def decode(ids: bytes) -> bytes:
+        found = np.frombuffer(ids, "<u4")
+        own = lengths[found]
+        place = np.cumsum(own) - own
+        return table[np.arange(own.sum()) + np.repeat(starts[found] - place, own)].tobytes()
+
+    return decode
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -84,7 +84,7 @@ def op4_rans_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks = vocabulary_path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, remembered=600_000).drop("ids")
+    return bpe.round_trip(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, remembered=1_200_000).drop("ids")
 
 
 def op6_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
