@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import LOWER, Batches, as_batch, strings
+from hourgrid.llm.common import KEPT_WORD, LOWER, Batches, as_batch, strings
 from hourgrid.sources.scratch import store
 
 BITS = 20
@@ -128,7 +128,9 @@ def decode_block(payload: bytes, frequency: np.ndarray, start: int = 0, stop: in
 # Marks that close a word; after a letter and before white space each is a match by itself.
 _CLOSING = ".,;:!?"
 _JOINED = 50
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
+# Code points of a text that help to divide the rows of one id.
+BEGINNING = 64
 
 
 # Separators to str.split, but not to the tokenizer.
@@ -173,6 +175,7 @@ class _WordIds(dict):
         self.added = [_lower(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.earlier: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -196,9 +199,14 @@ class _WordIds(dict):
 
     def of(self, texts: list[str]) -> list[bytes]:
         words = [_split(t, self.added) for t in texts]
-        if len(self) > CACHE_ENTRIES:
+        if 2 * len(self) > CACHE_ENTRIES:
+            # What has not been met since the last time goes.
+            self.earlier = dict(self)
             self.clear()
         new = set().union(*words).difference(self)
+        known = [w for w in new if w in self.earlier]
+        self.update((w, self.earlier[w]) for w in known)
+        new.difference_update(known)
         # Lower case can add a mark that is no letter.
         closed = [w for w in new if w[-1] in _CLOSING and w[:-1].lower().isalpha()]
         plain = {w for w in new if w.lower().isalpha()}
@@ -208,7 +216,10 @@ class _WordIds(dict):
         self._learn_each([*others, *(c for c in _CLOSING if c not in self)])
         for word in closed:
             self[word] = self[word[:-1]] + self[word[-1]]
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+        ids = [b"".join(map(self.__getitem__, w)) for w in words]
+        for word in [w for w in new if len(w) > KEPT_WORD]:
+            del self[word]
+        return ids
 
 
 @lru_cache(2)
@@ -329,7 +340,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     spark = docs.sparkSession
     order = [F.asc_nulls_last("doc_id"), F.asc_nulls_last("text")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = texts.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    # The texts' beginnings divide the rows of one id too, in the same order.
+    ranged = texts.repartitionByRange(order[0], F.asc(F.substring("text", 1, BEGINNING))).sortWithinPartitions(*order)
     schema = "bucket int, place long, doc_id long, n long, ids binary"
     tokens = store(ranged.mapInArrow(_tokenize(tokenizer_path, end_id), schema), "token-ids")
     counts = tokens.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
