@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from hourgrid.llm import bpe, line_dedup, near_dup, tiling, toxicity
 from hourgrid.llm.common import vocabulary_path
 from hourgrid.sources.scratch import store
 
+LINKED_FROM = Fraction(8, 10)
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -21,14 +24,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier place has, or has but for a word; those left without lines go."""
     return line_dedup.drop_duplicate_lines(docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_representatives(docs)
+    """Of each group of documents whose word shingles link them at a similarity of 0.8 or more, the one of the smallest id."""
+    return near_dup.keep_representatives(docs, LINKED_FROM)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than half of the words of any benchmark item."""
     return tiling.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

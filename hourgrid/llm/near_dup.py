@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import hashlib
 from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import Batches, WordHashes, as_batch, bitmap_of, map_rows, may_be_in, shingles, strings
+from hourgrid.llm.common import Batches, WordHashes, as_batch, bitmap_of, map_rows, may_be_in, shingles, sliced, strings
 from hourgrid.llm.components import components
 from hourgrid.sources.scratch import store
 
 WIDTH = 5
 SKETCH = 32
-# A pair at the threshold of 0.85 shares at least this many of the union's SKETCH lowest values but for a chance of 1e-8.
-SHARED = 14
+# A pair at the threshold shares fewer of the union's SKETCH lowest values than is asked for with a chance of MISSED at most.
+MISSED = 1.1e-8
 # Lists up to this length are paired off; longer ones are compared with what their members share, at most so many times over.
 SHORT_LIST = 64
 ROUNDS = 6
@@ -26,6 +27,14 @@ LINKS_FROM = Fraction(85, 100)
 _WORDS = WordHashes()
 
 
+def shared_at(level: Fraction) -> int:
+    """The most values that a pair at the threshold ``level`` shares but for a chance of MISSED: 14 at 0.85, fewer below."""
+    chance, shared = 0.0, 0
+    while (chance := chance + comb(SKETCH, shared) * float(level) ** shared * float(1 - level) ** (SKETCH - shared)) <= MISSED:
+        shared += 1
+    return shared
+
+
 def shingle_set(text: str) -> np.ndarray:
     """The document's distinct shingles as sorted 64-bit hashes."""
     return np.unique(shingles(_WORDS.of(text), WIDTH))
@@ -50,7 +59,7 @@ def _sketch(batch: pa.RecordBatch) -> dict:
 def _sets(shared):
     def run(batches: Batches) -> Batches:
         """The sets of the texts that may be wanted."""
-        for batch in batches:
+        for batch in sliced(batches):
             keys = np.asarray(batch.column("text_key")).view(np.uint64)
             kept = batch.filter(pa.array(may_be_in(shared.value, keys)))
             if kept.num_rows:
@@ -66,27 +75,27 @@ def _unsigned(value: Column) -> Column:
     return value.bitwiseXOR(F.lit(-(2**63)))
 
 
-def _exact_room(n: Column) -> Column:
+def _exact_room(n: Column, level: Fraction) -> Column:
     """How many of a set's values two linked sets of this size can differ in: n - ceil(n * threshold)."""
-    return n - F.ceil(n * LINKS_FROM.numerator / F.lit(LINKS_FROM.denominator) - 1e-9)
+    return n - F.ceil(n * level.numerator / F.lit(level.denominator) - 1e-9)
 
 
-def _cut_off(n: Column) -> Column:
+def _cut_off(n: Column, level: Fraction) -> Column:
     """How many values the sketch of the largest set linked to one of this size lacks; such a set holds all of the smaller."""
-    return F.floor(n * LINKS_FROM.denominator / F.lit(LINKS_FROM.numerator) + 1e-9) - SKETCH
+    return F.floor(n * level.denominator / F.lit(level.numerator) + 1e-9) - SKETCH
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
+def inverted_lists(classes: DataFrame, level: Fraction = LINKS_FROM) -> DataFrame:
     """(key, node, n, rare): under which retained values a class is listed.
 
-    The values of a sketch are taken from the rarest on, so many that two linked classes, which share SHARED
+    The values of a sketch are taken from the rarest on, so many that two linked classes, which share ``shared_at``
     retained values (or, when the sketch is the whole set, what the threshold demands, less what the sketch of
     a larger partner lacks), have a listed one in common. Frequent passages are thus listed only by documents that hold little else. ``rare`` counts
     the values that no other sketch has.
     """
     values = classes.select("node", "n", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("owners")).where("owners > 1")
-    taken = F.when(F.col("n") <= SKETCH, F.greatest(_exact_room(F.col("n")), _cut_off(F.col("n"))) + 1).otherwise(SKETCH - SHARED + 1)
+    taken = F.when(F.col("n") <= SKETCH, F.greatest(_exact_room(F.col("n"), level), _cut_off(F.col("n"), level)) + 1).otherwise(SKETCH - shared_at(level) + 1)
     grouped = values.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("owners", "value"))).alias("found"))
     grouped = grouped.withColumn("rare", F.least("n", F.lit(SKETCH)) - F.size("found"))
     keep = F.greatest(taken - F.col("rare"), F.lit(0)).cast("int")
@@ -94,18 +103,18 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     return listed.select(F.col("entry.value").alias("key"), "node", "n", "rare")
 
 
-def _similar_size(a: Column, b: Column) -> Column:
-    return F.least(a, b) * LINKS_FROM.denominator >= F.greatest(a, b) * LINKS_FROM.numerator
+def _similar_size(a: Column, b: Column, level: Fraction) -> Column:
+    return F.least(a, b) * level.denominator >= F.greatest(a, b) * level.numerator
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, classes: DataFrame, level: Fraction) -> DataFrame:
     """Pairs whose union sketch shares enough values; the sketch of a union is the lowest values of both sketches."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     key = lambda c: F.transform(c, _unsigned)
     union = F.slice(F.array_sort(F.array_union(key("sa"), key("sb"))), 1, SKETCH)
     common = F.size(F.array_intersect(union, F.array_intersect(key("sa"), key("sb"))))
-    return both.where((F.greatest("na", "nb") <= SKETCH) | (common >= SHARED)).select("a", "b")
+    return both.where((F.greatest("na", "nb") <= SKETCH) | (common >= shared_at(level))).select("a", "b")
 
 
 def _full_sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -125,15 +134,15 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.join(side(a), a).join(side(b), b)
 
 
-def _linked(size_a: Column, size_b: Column, common: Column) -> Column:
-    return common * LINKS_FROM.denominator >= (size_a + size_b - common) * LINKS_FROM.numerator
+def _linked(size_a: Column, size_b: Column, common: Column, level: Fraction) -> Column:
+    return common * level.denominator >= (size_a + size_b - common) * level.numerator
 
 
-def _paired(lists: DataFrame) -> DataFrame:
+def _paired(lists: DataFrame, level: Fraction) -> DataFrame:
     """Pairs within lists of (key, node, n, settled), but for those that are settled both."""
     x, y = lists.alias("x"), lists.alias("y")
     open_ = ~(F.col("x.settled") & F.col("y.settled")) & (F.col("x.node") < F.col("y.node"))
-    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & open_ & _similar_size(F.col("x.n"), F.col("y.n")))
+    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & open_ & _similar_size(F.col("x.n"), F.col("y.n"), level))
     return joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -161,7 +170,7 @@ def _cores(groups: DataFrame) -> DataFrame:
     return sizes.join(core, "mark", "left").select("mark", F.coalesce("reference", empty).alias("reference"))
 
 
-def _compared(groups: DataFrame, references: DataFrame) -> DataFrame:
+def _compared(groups: DataFrame, references: DataFrame, level: Fraction) -> DataFrame:
     """Every member with its group's reference set: what it has gained and lost, and if it is settled, that is similar to it."""
     both = groups.join(references, "mark")
     common = F.size(F.array_intersect("values", "reference"))
@@ -170,7 +179,7 @@ def _compared(groups: DataFrame, references: DataFrame) -> DataFrame:
         "node",
         "n",
         "rare",
-        _linked(F.size("values"), F.size("reference"), common).alias("settled"),
+        _linked(F.size("values"), F.size("reference"), common, level).alias("settled"),
         F.size("reference").alias("reference_n"),
         F.array_except("values", "reference").alias("gained"),
         F.array_except("reference", "values").alias("lost"),
@@ -187,25 +196,39 @@ def _pivots(compared: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFram
     return members, closest.join(sets, ["mark", "pivot"])
 
 
-def _gained_lists(compared: DataFrame) -> DataFrame:
+def _gained_lists(compared: DataFrame, level: Fraction) -> DataFrame:
     """Lists of values that members have and their reference hasn't, rarest first.
 
-    With g, h values gained and lost against a reference of r values, a class that isn't similar to it shares at
-    least (0.85 g + h - 0.15 r) / 1.85 gained values with any linked class that has not lost more than it has
+    With t the threshold and g, h values gained and lost against a reference of r values, a class that isn't similar to it shares at
+    least (t g + h - (1 - t) r) / (1 + t) gained values with any linked class that has not lost more than it has
     gained, and with any that shares no lost value with it. So it is listed under its rarest gained
     values, up to one more than the others. For a similar class that number is not positive, and all count.
     """
     gained = F.size("gained")
-    listed = _rarest(compared.select(*_MEMBER, (gained - _needed() + 1).alias("take"), gained.alias("all"), F.explode("gained").alias("value")))
-    return listed.select("key", "node", "n", "rare", "settled")
+    whole = compared.where("NOT settled").select(*_MEMBER, (gained - _needed(level) + 1).alias("take"), gained.alias("all"), F.explode("gained").alias("value"))
+    # Read several times.
+    whole = store(whole, "near-open-values")
+    settled = _open_to(compared.where("settled").select(*_MEMBER, "gained"), whole.select("mark", "value").distinct())
+    return _rarest(whole.unionByName(settled)).select("key", "node", "n", "rare", "settled")
+
+
+def _open_to(settled: DataFrame, values: DataFrame) -> DataFrame:
+    """Of the similar classes the gained values that some class of their group that isn't similar has too: two similar ones are
+    never paired. Groups that have none but similar classes are left out before arrays become rows.
+    """
+    values = store(values, "near-wanted-values")
+    among = settled.join(values.select("mark").distinct(), "mark", "left_semi")
+    # All of them count: as many as there are is no fewer than the member's rows.
+    rows = among.select(*_MEMBER, F.size("gained").alias("take"), F.size("gained").alias("all"), F.explode("gained").alias("value"))
+    return rows.join(values, ["mark", "value"], "left_semi")
 
 
 _MEMBER = ["mark", "node", "n", "rare", "settled"]
 
 
-def _needed() -> Column:
+def _needed(level: Fraction) -> Column:
     """How many values gained or lost a class that isn't similar to the reference shares with a linked one at least."""
-    top, whole = LINKS_FROM.numerator, LINKS_FROM.denominator
+    top, whole = level.numerator, level.denominator
     least = top * F.size("gained") + whole * F.size("lost") - (whole - top) * F.col("reference_n")
     return F.greatest(F.ceil(least / F.lit(top + whole) - 1e-9), F.lit(1))
 
@@ -223,14 +246,14 @@ def _rarest(rows: DataFrame) -> DataFrame:
     return entry.withColumns({"key": F.xxhash64("mark", "entry.value"), "left": left})
 
 
-def _lost_pairs(compared: DataFrame) -> DataFrame:
+def _lost_pairs(compared: DataFrame, level: Fraction) -> DataFrame:
     """Pairs of which one has lost more than it has gained and the other isn't similar to the reference.
 
     Together they share at least as many values gained or lost as the larger need of both, so they are listed under
     their rarest of either kind; a pair counts where what both still have behind the shared value is enough
     for it. A core keeps what most members have, so few have lost more.
     """
-    top, whole = LINKS_FROM.numerator, LINKS_FROM.denominator
+    top, whole = level.numerator, level.denominator
     lost = F.transform("lost", lambda v: F.xxhash64(v, F.lit("lost")))
     g, h = F.size("gained"), F.size("lost")
     rows = compared.select(
@@ -238,7 +261,7 @@ def _lost_pairs(compared: DataFrame) -> DataFrame:
         g.alias("g"),
         h.alias("h"),
         F.col("reference_n").alias("r"),
-        (g + h - _needed() + 1).alias("take"),
+        (g + h - _needed(level) + 1).alias("take"),
         (g + h).alias("all"),
         F.explode(F.concat("gained", lost)).alias("value"),
     )
@@ -247,12 +270,12 @@ def _lost_pairs(compared: DataFrame) -> DataFrame:
     both = lambda c: F.col(f"x.{c}") + F.col(f"y.{c}")
     need = top * (F.col("x.r") + both("g")) - whole * (F.col("x.r") - both("h"))
     enough = (top + whole) * F.least("x.left", "y.left") >= need
-    close = (F.col("x.node") != F.col("y.node")) & _similar_size(F.col("x.n"), F.col("y.n"))
+    close = (F.col("x.node") != F.col("y.node")) & _similar_size(F.col("x.n"), F.col("y.n"), level)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close & enough)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
-def find_links(texts: DataFrame, classes: DataFrame) -> DataFrame:
+def find_links(texts: DataFrame, classes: DataFrame, level: Fraction = LINKS_FROM) -> DataFrame:
     """Links (a, b) that hold together what is linked: each pair of linked classes is in one component of the result.
 
     Classes of a short list are paired off. Those of a long list are compared with the list's core, the values that
@@ -262,9 +285,9 @@ def find_links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     other pairs are found by such lists again. Lists that are still long are handled the same way. Pairs
     are then checked by the union's sketch and by the full sets.
     """
-    lists = store(inverted_lists(classes).withColumn("settled", F.lit(False)), "near-lists")
+    lists = store(inverted_lists(classes, level).withColumn("settled", F.lit(False)), "near-lists")
     short, long = _by_length(lists, "near-sizes")
-    pairs = store(_estimated(_paired(short), classes), "near-pairs")
+    pairs = store(_estimated(_paired(short, level), classes, level), "near-pairs")
     long = store(long, "near-long")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     sets = _full_sets(ends.unionByName(long.select("node")).distinct(), classes, texts)
@@ -272,29 +295,29 @@ def find_links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     while rounds < ROUNDS and not long.isEmpty():
         rounds += 1
         groups = store(_groups(long, sets), "near-groups")
-        to_core = store(_compared(groups, _cores(groups)), "near-core")
+        to_core = store(_compared(groups, _cores(groups), level), "near-core")
         members, pivots = _pivots(to_core, groups)
         pivots = store(pivots, "near-pivots")
-        to_pivot = _compared(members, pivots.select("mark", "reference")).join(pivots.select("mark", "pivot"), "mark")
+        to_pivot = _compared(members, pivots.select("mark", "reference"), level).join(pivots.select("mark", "pivot"), "mark")
         to_pivot = store(to_pivot.withColumn("mark", F.xxhash64("mark", F.lit("pivot"))), "near-pivot")
         links = links.unionByName(to_pivot.where("settled AND node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         both = to_core.unionByName(to_pivot.drop("pivot"))
-        short, long = _by_length(store(_gained_lists(both), "near-gained"), "near-sizes")
-        more = _paired(short).unionByName(_lost_pairs(both)).distinct()
-        pairs = pairs.unionByName(store(_estimated(more, classes), "near-pairs"))
+        short, long = _by_length(store(_gained_lists(both, level), "near-gained"), "near-sizes")
+        more = _paired(short, level).unionByName(_lost_pairs(both, level)).distinct()
+        pairs = pairs.unionByName(store(_estimated(more, classes, level), "near-pairs"))
         long = store(long, "near-long")
     if not long.isEmpty():
         # What so many rounds have not thinned is paired off in full.
-        pairs = pairs.unionByName(store(_estimated(_paired(long), classes), "near-pairs"))
+        pairs = pairs.unionByName(store(_estimated(_paired(long, level), classes, level), "near-pairs"))
     checked = _with_sets(pairs.distinct(), sets, "a", "b")
     common = F.size(F.array_intersect("v_a", "v_b"))
-    return checked.where(_linked(F.size("v_a"), F.size("v_b"), common)).select("a", "b").unionByName(links)
+    return checked.where(_linked(F.size("v_a"), F.size("v_b"), common, level)).select("a", "b").unionByName(links)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, level: Fraction = LINKS_FROM) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) of every row.
 
-    Documents are linked when their sets of five-word shingles have a Jaccard similarity of 0.85 or more;
+    Documents are linked when their sets of five-word shingles have a Jaccard similarity of ``level`` (0.85) or more;
     component_id is the smallest doc_id that links reach, kept says whether it is the row's own. Texts without
     words (or null) have no shingles, no links and their own id. Equal sets are one class, so copies are
     never paired. A null id takes part; its component_id is the smallest id of its component, null if there is none, and it is
@@ -311,7 +334,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("node", "n", "sketch", "least_id", "_first.doc_id", "_first.text_key"),
         "near-classes",
     )
-    low = store(components(find_links(texts, classes)), "near-components")
+    low = store(components(find_links(texts, classes, level)), "near-components")
     grouped = classes.select("node", "least_id").join(low, "node", "left").withColumn("low", F.coalesce("low", "node"))
     ids = grouped.groupBy("low").agg(F.min("least_id").alias("component_id"))
     named = grouped.join(ids, "low").select("node", "component_id")
@@ -326,9 +349,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
+def keep_representatives(docs: DataFrame, level: Fraction = LINKS_FROM) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    decided = store(near_duplicates(docs).where("NOT kept").select("doc_id", "text_key").distinct(), "near-dropped")
+    decided = store(near_duplicates(docs, level).where("NOT kept").select("doc_id", "text_key").distinct(), "near-dropped")
     same = docs["doc_id"].cast("long").eqNullSafe(decided["doc_id"]) & (F.xxhash64(docs["text"]) == decided["text_key"])
     return docs.join(decided, same, "left_anti")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from hourgrid.llm import bpe, fingerprint, langid, line_dedup, near_dup, tiling, token_counts, token_files, toxicity, url_reputation  # noqa: E402
+from hourgrid.llm import bpe, common, fingerprint, langid, line_dedup, near_dup, tiling, token_counts, token_files, toxicity, url_reputation  # noqa: E402
 from hourgrid.llm.common import vocabulary_path  # noqa: E402
 from hourgrid.llm.components import components  # noqa: E402
 from hourgrid.sources.scratch import scratch_path  # noqa: E402
@@ -107,6 +108,22 @@ def test_fingerprints_of_edits_and_neighbours(docs, nothing):
     assert fingerprint.fingerprint_documents(nothing).count() == 0
 
 
+def test_fingerprints_equal_a_walk_through_the_rows(spark):
+    """Every row with what follows it, a third of them of one id and a third without."""
+    table = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{'é' * (i % 5)} word{i % 19}. Same line\nof {i % 4}" * (i % 6)) for i in range(150)]
+    ordered = sorted(table, key=lambda r: r[1], reverse=True)
+    ordered.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
+    expected = []
+    for (doc_id, text), (_, following) in zip(ordered, ordered[1:] + ordered[:1]):
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + following[:cut]
+        own, new = (fingerprint.to_text(p) for p in fingerprint.fingerprints([text, edited]))
+        expected.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, new))
+    found = fingerprint.fingerprint_documents(spark.createDataFrame(table, "doc_id long, text string"))
+    assert rows(found, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint") == sorted(expected, key=str)
+    assert found.where("near_edited < 0 OR near_edited > 1 OR near_next < 0 OR near_next > 1").count() == 0
+
+
 def test_fingerprints_are_homomorphic():
     a, b = (fingerprint.to_text(fingerprint.fingerprints([t])[0]) for t in ("one\ntwo", "two\none"))
     three = fingerprint.to_text(fingerprint.fingerprints(["one\ntwo\nthree"])[0])
@@ -147,6 +164,36 @@ def test_token_files(spark, docs, nothing, monkeypatch):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_remembered_words_do_not_change_ids(monkeypatch):
+    """Words met again after others have pushed them out, and words too long to be remembered."""
+    encode = tokenizer("word_bpe_49k.json").encode
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 40)
+    ids = token_files._WordIds(vocabulary_path("word_bpe_49k.json"))
+    for k in range(30):
+        text = " ".join(f"word{'abcdefghij'[(k * i) % 10]}ing, it's {i % 7}" for i in range(30)) + " " + "verylong" * 20
+        assert np.frombuffer(ids.of([text])[0], "<u4").tolist() == encode(text, add_special_tokens=False).ids
+    assert len(ids) + len(ids.earlier) < 200 and not any(len(w) > 64 for w in ids)
+
+
+def test_remembered_pieces_do_not_change_ids():
+    ranks = bpe.read_ranks(vocabulary_path("byte_bpe_50k.tiktoken"))
+    pieces = [f" word{i % 37}x{i % 11}" for i in range(500)] + ["z" * 300]
+    few = bpe.PieceIds(ranks, 20)
+    assert [few[p] for p in pieces] == [np.array(bpe.merge_piece(p.encode(), ranks), "<u4").tobytes() for p in pieces]
+    assert len(few) + len(few.earlier) <= 20
+
+
+def test_texts_come_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "SLICE_BYTES", 10)
+    texts = ["", None, "abc", "é" * 20, "x" * 9, "y", "z", "w" * 10, None]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[:5])}), pa.RecordBatch.from_pydict({"text": pa.array(texts[5:])})]
+    parts = [p.column("text").to_pylist() for p in common.sliced(iter(batches))]
+    assert [t for p in parts for t in p] == texts
+    assert all(sum(len((t or "").encode()) for t in p) <= 10 or len(p) == 1 for p in parts)
+
+
 def test_joined_checksums():
     data = bytes(range(256)) * 9000
     cuts = [0, 1, 77, 1_500_000, len(data)]
@@ -154,18 +201,18 @@ def test_joined_checksums():
     assert token_files.joined_crc(parts) == zlib.crc32(data)
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     sets = [frozenset(near_dup.shingle_set(t or "").tolist()) for t in texts]
     group = list(range(len(texts)))
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 group = [group[j] if g == group[i] else g for g in group]
     return [min(k for k, g in enumerate(group) if g == own) for own in group], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("short", [2, 64])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, short):
+@pytest.mark.parametrize("short, percent", [(2, 85), (64, 85), (2, 80), (64, 80)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, short, percent):
     """Short lists of two force nearly all groups through cores, pivots and lists of differences."""
     monkeypatch.setattr(near_dup, "SHORT_LIST", short)
     draw = np.random.default_rng(5)
@@ -180,8 +227,8 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, short):
         texts.append(" ".join(passage + [f"q{draw.integers(0, 30)}" for _ in range(k % 12)]))
         texts.append(" ".join(f"w{i}" for i in draw.integers(0, 500, 40)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = rows(near_dup.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept")
-    expected, sizes = brute_components(texts)
+    found = rows(near_dup.near_duplicates(docs, Fraction(percent, 100)), "doc_id", "n_shingles", "component_id", "kept")
+    expected, sizes = brute_components(texts, percent)
     assert found == sorted(((i, n, c, c == i) for i, (c, n) in enumerate(zip(expected, sizes))), key=str)
 
 
@@ -205,6 +252,36 @@ def test_links_of_whole_sketches_to_larger_sets(spark, seed):
     assert found == sorted(enumerate(brute_components(texts)[0]), key=str)
 
 
+def test_large_group_of_near_copies_equals_brute_force(spark, monkeypatch):
+    """One group of near copies whose lists are all long, some of it linked only through others."""
+    monkeypatch.setattr(near_dup, "SHORT_LIST", 12)
+    draw = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(140)]
+    texts = []
+    for k in range(160):
+        words = list(base)
+        for _ in range(int(draw.integers(0, 9))):
+            at = int(draw.integers(0, len(words)))
+            words[at : at + int(draw.integers(0, 3))] = [f"n{draw.integers(0, 60)}"]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = rows(near_dup.near_duplicates(docs), "doc_id", "component_id")
+    expected = brute_components(texts)[0]
+    assert 1 < len(set(expected)) < len(texts)
+    assert found == sorted(enumerate(expected), key=str)
+
+
+def test_very_long_lines_that_differ_by_a_word(spark):
+    """Work grows with the words of a line, not with their square."""
+    words = [f"w{i % 977}x{i}" for i in range(100_000)]
+    changed, longer = list(words), list(words)
+    changed[70_000] = "other"
+    longer.insert(10, "more")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(longer)), (4, " ".join(words[::-1]))], "doc_id long, text string")
+    found = rows(line_dedup.duplicate_lines(docs), "doc_id", "first_doc_id", "edits")
+    assert found == [(2, 1, 1), (3, 1, 1)]
+
+
 def test_near_duplicates_of_awkward_rows(docs, nothing):
     kept = near_dup.keep_representatives(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
@@ -370,7 +447,7 @@ def test_pipeline_equals_brute_force(spark):
                 continue
             text = "\n".join(stay)
         kept.append((i, text))
-    first, _ = brute_components([t for _, t in kept])
+    first, _ = brute_components([t for _, t in kept], 80)
     docs = [d for k, d in enumerate(kept) if first[k] == k]
     items = [tiling.tokens(r["text"] or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     covered = lambda words, item: sum(n for *_, n in tiling.tiles(item, words)) / max(1, len(item)) >= tiling.COVERAGE
