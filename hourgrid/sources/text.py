@@ -87,7 +87,9 @@ def _read_by_header(spark: SparkSession, header: str, files: Sequence[str], file
     reader = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", MALFORMED)
     # Paths are listed encoded, and read as patterns.
     paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(file)) for file in files]
-    source = F.regexp_extract(F.col("_metadata.file_path"), file_pattern, 1)
+    path = F.col("_metadata.file_path")
+    # The usual pattern would be tried from every character of the path, for each row.
+    source = F.substring_index(path, "/", -1) if file_pattern == FILE_NAME else F.regexp_extract(path, file_pattern, 1)
     return reader.csv(paths).withColumn("source_file", source)
 
 

@@ -108,3 +108,17 @@ def test_validation_from_files_of_two_spellings(spark, tmp_path):
     results = files.validate_files(spark, loads, weather, 2023, ForestSettings(trees=5, depth=4))
     assert results.count() == 24 * sum(d.year == 2024 for d in days)
     assert {"forecast_regional", "forecast_rf"} <= set(results.columns)
+
+
+def test_file_names_take_no_pattern_search(spark, tmp_path, capsys):
+    """The name is the end of the path, encoded as there; only other patterns are searched for in it."""
+    folder = tmp_path / "in put" / "export=b"
+    folder.mkdir(parents=True)
+    for name in ("first one.csv", "second.CSV"):
+        (folder / name).write_text("Date,HR\n2024-01-01,1\n")
+    rows = text.read_mixed_exports(spark, str(tmp_path))
+    assert sorted(r.source_file for r in rows.collect()) == ["first%20one.csv", "second.CSV"]
+    rows.explain()
+    assert "regexp_extract" not in capsys.readouterr().out
+    other = text.read_mixed_exports(spark, str(tmp_path), file_pattern=r"export=([^/]+)/")
+    assert {r.source_file for r in other.collect()} == {"b"}
