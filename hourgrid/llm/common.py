@@ -45,14 +45,14 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def sliced(batches: Batches, column: str = "text") -> Batches:
-    """The rows in batches of some SLICE_BYTES of text, a longer text alone; so what is made of one batch stays small."""
+def sliced(batches: Batches, column: str = "text", size: int | None = None) -> Batches:
+    """The rows in batches of some SLICE_BYTES (or ``size``) of text, a longer text alone; so what is made of one batch stays small."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            stop = max(at + 1, int(np.searchsorted(ends, before + (size or SLICE_BYTES), "right")))
             yield batch.slice(at, stop - at)
             at = stop
 

@@ -13,19 +13,23 @@ A checkpoint holds the decoder's states before its step, so decoding can start t
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
+import string
 import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import KEPT_WORD, LOWER, Batches, as_batch, strings
+from hourgrid.llm.common import KEPT_WORD, LOWER, Batches, as_batch, sliced
 from hourgrid.sources.scratch import store
 
 BITS = 20
@@ -58,21 +62,21 @@ def encode_block(ids: np.ndarray, frequency: np.ndarray, lanes: int = LANES, eve
     n = len(ids)
     first = np.r_[0, np.cumsum(frequency, dtype=np.uint64)[:-1]].astype(np.uint64)
     wide = frequency.astype(np.uint64)
-    bits, room = np.uint64(BITS), np.uint64(63 - BITS)
+    most, gaps = wide << np.uint64(63 - BITS), np.uint64(1 << BITS) - wide
     state = np.full(lanes, LOWEST)
     steps = -(-n // lanes)
     chunks, marks, written = [], [], 0
     for step in range(steps - 1, -1, -1):
         part = ids[step * lanes : (step + 1) * lanes]
-        x, f = state[: len(part)], wide[part]
-        full = x >= f << room
-        if full.any():
-            out = x[full].astype(np.uint32)
-            chunks.append(out)
+        x = state[: len(part)]
+        full = np.flatnonzero(x >= most.take(part))
+        if len(full):
+            out = x[full]
+            chunks.append(out.astype(np.uint32))
             written += len(out)
-            x = np.where(full, x >> _32, x)
-        high, low = np.divmod(x, f)
-        state[: len(part)] = (high << bits) + low + first[part]
+            x[full] = out >> _32
+        # Quotient << BITS, remainder and beginning of the id's slots in one.
+        x += x // wide.take(part) * gaps.take(part) + first.take(part)
         if step % every == 0:
             marks.append((written, state.copy()))
     words = np.concatenate(chunks[::-1]) if chunks else np.zeros(0, np.uint32)
@@ -112,9 +116,9 @@ def decode_block(payload: bytes, frequency: np.ndarray, start: int = 0, stop: in
     for at in range(begin, begin + len(out), lanes):
         x = state[: min(lanes, n - at)]
         slot = x & mask
-        ids = symbol[slot]
+        ids = symbol.take(slot.astype(np.int64))
         out[at - begin : at - begin + len(x)] = ids
-        x = wide[ids] * (x >> bits) + slot - first[ids]
+        x = wide.take(ids) * (x >> bits) + slot - first.take(ids)
         low = np.flatnonzero(x < LOWEST)
         if len(low):
             x[low] = x[low] << _32 | stream[read : read + len(low)]
@@ -125,101 +129,187 @@ def decode_block(payload: bytes, frequency: np.ndarray, start: int = 0, stop: in
     return out[start - begin : stop - begin]
 
 
-# Marks that close a word; after a letter and before white space each is a match by itself.
-_CLOSING = ".,;:!?"
 _JOINED = 50
+# Texts that the tokenizer gets at a time: what it returns is far larger than the ids.
+_AT_A_TIME = 200
+# Units kept in both halves, which age by turns.
 CACHE_ENTRIES = 600_000
+# Bytes of text whose words are told apart together.
+TEXT_BYTES = 3 << 20
 # Code points of a text that help to divide the rows of one id.
 BEGINNING = 64
+# Composed lower-case letters, which a normalizer of these steps leaves as they are.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
-# Separators to str.split, but not to the tokenizer.
-_CONTROL = re.compile("[\x1c-\x1f]")
+def _pick(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``sizes`` items from ``starts`` on, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return flat[np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)]
 
 
-def _lower(text: str) -> str:
-    return text.encode("utf-8").translate(LOWER).decode("utf-8")
+class _Kept:
+    """Distinct words and the ids of each."""
 
+    def __init__(self):
+        self.words = pa.array([], pa.string())
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-def _words(text: str) -> list[str]:
-    return [w for w in re.split("[ \t\n\r]+", text) if w] if _CONTROL.search(text) else text.split()
+    def __len__(self) -> int:
+        return len(self.words)
 
+    def add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
+        self.words, self.ids, self.sizes = pa.concat_arrays([self.words, words]), np.r_[self.ids, ids], np.r_[self.sizes, sizes]
 
-def _split(text: str, added: list[str]) -> list[str]:
-    """The white-space words, A-Z lower-cased, but for those that hold an added token in any case: such tokens are looked
-    for in the text as it is.
-    """
-    lower = _lower(text)
-    if not any(a in lower for a in added):
-        return _words(lower)
-    return [raw if any(a in low for a in added) else low for raw in _words(text) for low in [_lower(raw)]]
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each word is, -1 for others."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _pick(self.ids, self.starts[places], self.sizes[places]), self.sizes[places]
+
+    def without_long(self) -> None:
+        short = pc.utf8_length(self.words).to_numpy() <= KEPT_WORD
+        if not short.all():
+            words, (ids, sizes) = self.words.filter(pa.array(short)), self.of(np.flatnonzero(short))
+            self.__init__()
+            self.add(words, ids, sizes)
 
 
-class _WordIds(dict):
-    """Ids of white-space words, kept for those seen lately. No match of the tokenizer's splitting pattern,
+def _encode(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, and how many each has."""
+    ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(texts), _AT_A_TIME):
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts[at : at + _AT_A_TIME], add_special_tokens=False)]
+        ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32))
+        sizes.append(np.array([len(f) for f in found], np.int64))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+class _WordIds:
+    """Ids of white-space words, whose parts are kept if seen lately. No match of the tokenizer's splitting pattern,
     no composition and no special token spans white space, so the ids of a text are those of its words, one after
-    another. Words of letters are one match each; the tokenizer marks the last id of a match, so
-    new ones are encoded many at a time and told apart by that mark.
+    another. Marks that close a word after a letter or digit are one match by themselves. Arrow finds the distinct
+    words of many texts and looks them up. Words of letters are one match each; the tokenizer marks the last id
+    of a match, so new ones are encoded many at a time and told apart by that mark.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
-        self.added = [_lower(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode().translate(LOWER).decode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-        self.earlier: dict[str, bytes] = {}
+        self.plain = self.tokenizer
+        with open(path, encoding="utf-8") as file:
+            normalizer = json.load(file)["normalizer"] or {}
+        if normalizer.get("normalizers") == _STEPS and not any(map(_PLAIN.fullmatch, self.added)):
+            # Plain words need neither these steps nor a pattern. The model is shared.
+            self.plain = Tokenizer(self.tokenizer.model)
+            split = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence(split)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.kept, self.earlier = _Kept(), _Kept()
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def __len__(self) -> int:
+        return len(self.kept)
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words that consist of letters."""
-        texts = [" ".join(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)]
-        ids = np.array([i for found in self._encode(texts) for i in found], "<u4")
+    def __iter__(self):
+        return iter(self.kept.words.to_pylist())
+
+    def _of_letters(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that consist of letters, and how many each has."""
+        ids, _ = _encode(tokenizer, [" ".join(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)])
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words):
-            # Letters that case or composition turns into something else.
-            self._learn_each(words)
-            return
-        raw, starts = ids.tobytes(), np.r_[0, ends[:-1]]
-        for word, start, end in zip(words, (4 * starts).tolist(), (4 * ends).tolist()):
-            self[word] = raw[start:end]
-
-    def _learn_each(self, words: list[str]) -> None:
-        for word, ids in zip(words, self._encode(words)):
-            self[word] = np.array(ids, "<u4").tobytes()
+        # Letters that case or composition turns into something else are encoded one by one.
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else _encode(self.tokenizer, words)
+
+    def _learn(self, new: pa.Array) -> None:
+        plain, letters, others = [], [], []
+        for word in new.to_pylist():
+            # Lower case can add a mark that is no letter.
+            (plain if _PLAIN.fullmatch(word) else letters if word.lower().isalpha() else others).append(word)
+        self.kept.add(pa.array(plain, pa.string()), *self._of_letters(self.plain, plain))
+        self.kept.add(pa.array(letters, pa.string()), *self._of_letters(self.tokenizer, letters))
+        self.kept.add(pa.array(others, pa.string()), *_encode(self.tokenizer, others))
+
+    def _places(self, units: pa.Array) -> np.ndarray:
+        """Where distinct units are kept; new ones are encoded."""
+        if 2 * len(self.kept) > CACHE_ENTRIES:
+            # What has not been met since the last time goes.
+            self.earlier, self.kept = self.kept, _Kept()
+        places = self.kept.places(units).copy()
+        unmet = np.flatnonzero(places < 0)
+        new = units.take(pa.array(unmet))
+        before, own = self.earlier.places(new), len(self.kept)
+        known = before >= 0
+        self.kept.add(new.filter(pa.array(known)), *self.earlier.of(before[known]))
+        self._learn(new.filter(pa.array(~known)))
+        places[unmet] = own + pc.index_in(new, value_set=self.kept.words.slice(own)).to_numpy()
+        return places
+
+    def _holds_added(self, texts: pa.Array) -> pa.Array:
+        """Which of the lower-cased texts hold an added token in any case."""
+        held = pa.array(np.zeros(len(texts), bool))
+        for token in self.added:
+            held = pc.or_(held, pc.match_substring(texts, token))
+        return held
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Where each text's words begin and end, and the words, A-Z lower-cased, but for those that hold an added
+        token in any case: such tokens are looked for in the text as it is.
+        """
+        lower = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(lower)
+        words, offsets = lists.flatten(), lists.offsets.to_numpy()
+        if pc.any(self._holds_added(lower)).as_py():
+            words = pc.if_else(self._holds_added(words), pc.ascii_split_whitespace(texts).flatten(), words)
+        return offsets - offsets[:1], words
+
+    def _divided(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """Words without the marks that close them, which words had some, and these marks."""
+        stems = pc.ascii_rtrim(words, characters=string.punctuation)
+        _, offsets, data = stems.buffers()
+        ends = np.frombuffer(offsets, np.int32, len(stems) + 1, 4 * stems.offset)[1:].astype(np.int64)
+        raw = np.r_[np.zeros(2, np.uint8), np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)]
+        last, second = raw[ends + 1], raw[ends]
+        is_ascii = ((last >= 97) & (last <= 122)) | ((last >= 48) & (last <= 57))
+        size = pc.binary_length(stems).to_numpy()
+        after = is_ascii | ((size > 1) & (second == 0xC3) & (last >= 0x9F) & (last != 0xB7))
+        closed = (size > 0) & (size < pc.binary_length(words).to_numpy()) & after & ~self._holds_added(pc.ascii_lower(words)).to_numpy(zero_copy_only=False)
+        some = pa.array(closed)
+        marks = [w[len(s) :] for w, s in zip(words.filter(some).to_pylist(), stems.filter(some).to_pylist())]
+        return pc.if_else(some, stems, words), closed, pa.array(marks, pa.string())
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and before which of them each text begins; then their number."""
+        offsets, words = self._words(texts)
+        coded = words.dictionary_encode()
+        stems, closed, marks = self._divided(coded.dictionary)
+        units = pa.concat_arrays([stems, marks]).dictionary_encode()
+        places = self._places(units.dictionary)[units.indices.to_numpy()]
+        # Each distinct word's one or two units, then what their ids are.
+        parts = np.insert(places[: len(stems)], np.flatnonzero(closed) + 1, places[len(stems) :])
+        ids, sizes = self.kept.of(parts)
+        ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(1 + closed)]]
+        index = coded.indices.to_numpy()
+        each = np.diff(ends)[index]
+        whole = _pick(ids, ends[:-1][index], each)
+        self.kept.without_long()
+        # Arrow would hold on to what the tables of distinct words took.
+        pa.default_memory_pool().release_unused()
+        return whole, np.r_[0, np.cumsum(each)][offsets]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        words = [_split(t, self.added) for t in texts]
-        if 2 * len(self) > CACHE_ENTRIES:
-            # What has not been met since the last time goes.
-            self.earlier = dict(self)
-            self.clear()
-        new = set().union(*words).difference(self)
-        known = [w for w in new if w in self.earlier]
-        self.update((w, self.earlier[w]) for w in known)
-        new.difference_update(known)
-        # Lower case can add a mark that is no letter.
-        closed = [w for w in new if w[-1] in _CLOSING and w[:-1].lower().isalpha()]
-        plain = {w for w in new if w.lower().isalpha()}
-        plain.update(w[:-1] for w in closed)
-        self._learn(list(plain.difference(self)))
-        others = new.difference(closed).difference(plain)
-        self._learn_each([*others, *(c for c in _CLOSING if c not in self)])
-        for word in closed:
-            self[word] = self[word[:-1]] + self[word[-1]]
-        ids = [b"".join(map(self.__getitem__, w)) for w in words]
-        for word in [w for w in new if len(w) > KEPT_WORD]:
-            del self[word]
-        return ids
+        ids, starts = self.flat(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
 
 
 @lru_cache(2)
@@ -228,37 +318,33 @@ def _word_ids(path: str) -> _WordIds:
 
 
 def _tokenize(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Batches) -> Batches:
         """Along one range of documents: each with its place among the range's ids."""
         context, start = TaskContext.get(), 0
         bucket = context.partitionId() if context else 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [i + end for i in _word_ids(path).of(strings(part))]
-                sizes = np.array([len(i) // 4 for i in found], np.int64)
-                starts = start + np.cumsum(sizes) - sizes
-                start += int(sizes.sum())
-                # Ids below 2^16 take two bytes here.
-                packed = [_pack(i) for i in found]
-                yield as_batch(
-                    {
-                        "bucket": pa.array([bucket] * len(found), pa.int32()),
-                        "place": starts,
-                        "doc_id": part.column("doc_id"),
-                        "n": sizes,
-                        "ids": pa.array(packed, pa.binary()),
-                    }
-                )
+        end = np.array([end_id], np.uint32)
+        for part in sliced(batches, size=TEXT_BYTES):
+            flat, starts = _word_ids(path).flat(pc.fill_null(part.column("text"), ""))
+            sizes = np.diff(starts) + 1
+            found = [np.concatenate([flat[a:b], end]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            places = start + np.cumsum(sizes) - sizes
+            start += int(sizes.sum())
+            yield as_batch(
+                {
+                    "bucket": pa.array([bucket] * len(found), pa.int32()),
+                    "place": places,
+                    "doc_id": part.column("doc_id"),
+                    "n": sizes,
+                    "ids": pa.array([_pack(i) for i in found], pa.binary()),
+                }
+            )
 
     return run
 
 
-def _pack(ids: bytes) -> bytes:
-    wide = np.frombuffer(ids, "<u4")
-    return b"\2" + wide.astype("<u2").tobytes() if int(wide.max()) < 1 << 16 else b"\4" + ids
+def _pack(ids: np.ndarray) -> bytes:
+    """Ids below 2^16 take two bytes here."""
+    return b"\2" + ids.astype("<u2").tobytes() if int(ids.max()) < 1 << 16 else b"\4" + ids.astype("<u4").tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
