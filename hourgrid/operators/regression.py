@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hourgrid.fixed import FOUR_CITIES, TERRITORY_CITIES
 
 # Rows multiplied together, tasks in which matrices meet, and the share of its own below which a column counts as dependent.
-TOGETHER = 2_048
+TOGETHER = 16_384
 ADDERS = 16
 DEPENDENT = 1e-11
 
@@ -60,6 +60,12 @@ TERRITORY_SPECS = {
 }
 
 
+def columns_read(specs: Mapping[str, OlsSpec]) -> list[str]:
+    """What fits and forecasts of the specs read, each column once."""
+    days = ["load_date", "hour_ending"]
+    return list(dict.fromkeys([*days, *(c for spec in specs.values() for c in (spec.actual, *spec.numeric))]))
+
+
 def _lookup(name: str, values: dict[int, float]) -> Column:
     """The value of the row's code; NULL for a code that has none."""
     size, code = CLASSES[name]
@@ -126,25 +132,49 @@ class _Layout:
     def products(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a task's rows the products of all columns, apart for each set of missing values; a row a set."""
         sums: dict[int, np.ndarray] = {}
-        starts, width = self.starts, self.width
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
-                design, gaps = np.zeros((part.num_rows, width)), np.zeros(part.num_rows, np.int64)
-                design[:, 0] = 1
+                gaps = np.zeros(part.num_rows, np.int64)
+                codes, numbers = [], np.ones((1 + len(self.numeric), part.num_rows))
                 for place, (kind, name) in enumerate([*(("_c_", c) for c in self.classes), *(("_x_", n) for n in self.numeric)]):
                     values = part.column(kind + name).to_numpy(zero_copy_only=False).astype(np.float64)
-                    there = ~np.isnan(values)
-                    gaps |= ~there * np.int64(1 << place)
+                    missing = np.isnan(values)
+                    if missing.any():
+                        gaps |= missing * np.int64(1 << place)
+                        values = np.where(missing, 0, values)
                     if kind == "_x_":
-                        design[there, starts[name]] = values[there]
+                        numbers[1 + place - len(self.classes)] = values
                     else:
-                        design[np.flatnonzero(there), starts[name] + values[there].astype(np.int64)] = 1
+                        codes.append(values.astype(np.int64))
                 for gap in np.unique(gaps).tolist():
-                    own = design[gaps == gap]
-                    sums[gap] = sums.get(gap, 0) + own.T @ own
+                    own = gaps == gap
+                    rows = slice(None) if own.all() else own
+                    present = {c: code[rows] for i, (c, code) in enumerate(zip(self.classes, codes)) if not gap >> i & 1}
+                    self._add(sums.setdefault(gap, np.zeros((self.width, self.width))), present, numbers[:, rows])
         yield from _as_rows(sums)
 
+    def _add(self, matrix: np.ndarray, codes: Mapping[str, np.ndarray], numbers: np.ndarray) -> None:
+        """Add the products of rows without gaps in ``codes``. A row has one code of a class, so what meets a class is
+        summed by code; the work of a row does not grow with the number of codes.
+        """
+        starts = self.starts
+        own = np.array([0, *(starts[n] for n in self.numeric)])
+        matrix[np.ix_(own, own)] += numbers @ numbers.T
+        for i, (name, code) in enumerate(codes.items()):
+            size = CLASSES[name][0]
+            its = slice(starts[name], starts[name] + size)
+            met = np.array([np.bincount(code, number, size) for number in numbers]).T
+            matrix[its, own] += met
+            matrix[own, its] += met.T
+            np.einsum("ii->i", matrix[its, its])[:] += met[:, 0]
+            for other, second in list(codes.items())[:i]:
+                wide = CLASSES[other][0]
+                both = np.bincount(code * wide + second, minlength=size * wide).reshape(size, wide)
+                there = slice(starts[other], starts[other] + wide)
+                matrix[its, there] += both
+                matrix[there, its] += both.T
+
 
 def _as_rows(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for gap, matrix in sums.items():

@@ -16,13 +16,17 @@ def modelling_frame(silver: DataFrame, weather: DataFrame, temperatures: Sequenc
     """Silver rows with position, weather by label, lags of all five loads, calendar and squares.
 
     ``weather`` has ``timestamp`` and the temperature columns. The position comes before the join
-    and the join keeps one row per load row (a label occurs once in ``weather``).
+    and the join keeps one row per load row (a label occurs once in ``weather``). Temperatures are squared
+    a label and joined last, so they pass no shuffle of load rows.
     """
     placed = order.add_position(silver).withColumnRenamed("local_timestamp_label", "timestamp")
-    joined = joins.join_weather_on_label(placed, weather.select("timestamp", *temperatures))
-    lagged = order.add_lags(joined, order.load_lags(LOADS))
+    lagged = order.add_lags(placed, order.load_lags(LOADS))
     calendar = features.add_day_name(features.add_year_month(lagged))
-    return features.add_squares(calendar, temperatures)
+    squared = features.add_squares(weather.select("timestamp", *temperatures), temperatures)
+    rows = [c for c in placed.columns if c != "timestamp"]
+    derived = [c for c in calendar.columns if c not in placed.columns]
+    squares = [c for c in squared.columns if c not in ("timestamp", *temperatures)]
+    return joins.join_weather_on_label(calendar, squared).select("timestamp", *rows, *temperatures, *derived, *squares)
 
 
 def naive_forecasts(silver: DataFrame, load: str = "caiso_mw") -> DataFrame:
@@ -110,6 +114,10 @@ def unscored_rows(results: DataFrame, forecast: str) -> DataFrame:
     return results.agg(F.count_if(missing).alias("without_forecast"), F.count("*").alias("rows"))
 
 
-def stored_frame(silver: DataFrame, weather: DataFrame) -> DataFrame:
-    """The modelling frame written once: later fits read the columns they need from Parquet."""
-    return store(modelling_frame(silver, weather), "modelling_frame")
+def stored_frame(silver: DataFrame, weather: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The modelling frame written once: later fits read the columns they need from Parquet.
+
+    ``columns`` may name all that will be read; then no others are sorted, shuffled or written.
+    """
+    frame = modelling_frame(silver, weather)
+    return store(frame.select(*columns) if columns else frame, "modelling_frame")

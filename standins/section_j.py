@@ -71,7 +71,9 @@ for _name, _spec in _MODELS.items():
 
 
 def _regional(spark, sf, last_train_year):
-    train, test = features.split_by_year(frame(spark, sf), last_train_year)
+    columns = ["caiso_mw", *regression.columns_read(regression.TERRITORY_SPECS)]
+    rows = forecasts.stored_frame(inputs.readings_silver(spark, sf), inputs.readings_weather(spark, sf), columns)
+    train, test = features.split_by_year(rows, last_train_year)
     return regression.forecast_territories(test, regression.fit_territories(train))
 
 
