@@ -15,7 +15,8 @@ _PLACE = ["no_id", "doc_id", "text_key", "line_no"]
 
 def words_of(line: Column) -> Column:
     """The lower-cased words of a line; none for a blank one."""
-    return F.array_remove(F.split(F.lower(line), _SPACE), "")
+    pieces = F.split(F.lower(line), _SPACE)
+    return F.when(F.array_contains(pieces, ""), F.array_remove(pieces, "")).otherwise(pieces)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -30,27 +31,36 @@ def _lines(docs: DataFrame) -> DataFrame:
     return full.withColumns({"h": F.xxhash64("words"), "g": F.xxhash64(F.lit("second"), "words"), "n": F.size("words")})
 
 
-def _halves() -> Column:
-    """Keys of a line's first and last k words, for the k of two lines that an edit tells apart.
+def _halves() -> dict[str, Column]:
+    """Keys of a line's first and last k words, for the k of two lines that an edit tells apart; NULL for short lines.
 
     Lines of n words, or of n and n + 1, have k = n / 2, rounded down, in common. Neither line's first k words
-    overlap its last k, so one edit leaves the first or the last k words of both equal.
+    overlap its last k, so one edit leaves the first or the last k words of both equal. The keys are plain
+    columns: as an array of rows they would be several times as wide in files and shuffles.
     """
+    k, shorter = _half_sizes()
+    long = F.col("n") >= FUZZY_WORDS
+    first = lambda k: F.xxhash64(F.lit("first"), F.slice("words", F.lit(1), k))
+    last = lambda k: F.xxhash64(F.lit("last"), F.slice("words", F.col("n") - k + 1, k))
+    two = long & (k != shorter)
+    return {"first_half": F.when(long, first(k)), "last_half": F.when(long, last(k)), "first_shorter": F.when(two, first(shorter)), "last_shorter": F.when(two, last(shorter))}
 
-    def of(k: Column) -> Column:
-        first, last = F.slice("words", F.lit(1), k), F.slice("words", F.col("n") - k + 1, k)
-        return F.array(
-            F.struct(F.xxhash64(F.lit("first"), first).alias("half"), k.alias("first_k"), F.lit(None).cast("int").alias("last_k")),
-            F.struct(F.xxhash64(F.lit("last"), last).alias("half"), F.lit(None).cast("int").alias("first_k"), k.alias("last_k")),
-        )
 
-    k, shorter = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
-    return F.when(F.col("n") < FUZZY_WORDS, None).when(k == shorter, of(k)).otherwise(F.concat(of(k), of(shorter)))
+_HALVES = ["first_half", "last_half", "first_shorter", "last_shorter"]
+
+
+def _half_sizes() -> tuple[Column, Column]:
+    return F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
 
 
 def _suspects(firsts: DataFrame) -> DataFrame:
     """Distinct lines that share a half with another one; first_k and last_k say behind and before which words an edit may lie."""
-    halves = firsts.select(*_PLACE, "h", "g", F.explode("halves").alias("x")).select(*_PLACE, "h", "g", "x.*")
+    sizes, none = [size for size in _half_sizes() for _ in range(2)], F.lit(None).cast("int")
+    keys = [
+        F.struct(F.col(c).alias("half"), (k if c.startswith("first") else none).alias("first_k"), (none if c.startswith("first") else k).alias("last_k"))
+        for c, k in zip(_HALVES, sizes)
+    ]
+    halves = firsts.select(*_PLACE, "h", "g", F.inline(F.array(*keys))).where("half IS NOT NULL")
     shared = halves.groupBy("half").agg(F.count("*").alias("owners")).where("owners > 1").select("half")
     found = halves.join(shared, "half", "left_semi")
     return found.groupBy(*_PLACE, "h", "g").agg(F.min("first_k").alias("first_k"), F.min("last_k").alias("last_k"))
@@ -126,13 +136,13 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     variants of a one-word edit under hashed keys; each key keeps its earliest line by a grouped minimum, so
     no pairs are made and a frequent key costs one row a task. The earliest line found is checked word by word.
     """
-    places = store(
-        _lines(docs).select(*_PLACE, "h", "g", "n", _halves().alias("halves")).drop("n"), "line-places"
-    )
+    halves = [c.alias(name) for name, c in _halves().items()]
+    places = store(_lines(docs).select(*_PLACE, "h", "g", "n", *halves), "line-places")
     place = F.struct(*_PLACE)
-    earliest = places.groupBy("h", "g").agg(F.min(place).alias("first"), F.first("halves").alias("halves"))
-    firsts = store(earliest.select("h", "g", "first.*", "halves"), "line-firsts")
-    suspects = store(_suspects(firsts.where("halves IS NOT NULL")), "line-suspects")
+    # Equal lines have equal halves.
+    earliest = places.groupBy("h", "g").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", *_HALVES)])
+    firsts = store(earliest.select("h", "g", "first.*", "n", *_HALVES), "line-firsts")
+    suspects = store(_suspects(firsts.where("first_half IS NOT NULL")), "line-suspects")
     lines = store(_with_words(suspects, docs), "line-words")
     variants = store(_variants(lines), "line-variants")
     least = variants.groupBy("key").agg(F.min(place).alias("best"), F.count("*").alias("size")).where("size > 1")
