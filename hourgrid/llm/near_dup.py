@@ -205,7 +205,7 @@ def _gained_lists(compared: DataFrame, level: Fraction) -> DataFrame:
     values, up to one more than the others. For a similar class that number is not positive, and all count.
     """
     gained = F.size("gained")
-    whole = compared.where("NOT settled").select(*_MEMBER, (gained - _needed(level) + 1).alias("take"), gained.alias("all"), F.explode("gained").alias("value"))
+    whole = _spread(compared.where("NOT settled")).select(*_MEMBER, (gained - _needed(level) + 1).alias("take"), gained.alias("all"), F.explode("gained").alias("value"))
     # Read several times.
     whole = store(whole, "near-open-values")
     settled = _open_to(compared.where("settled").select(*_MEMBER, "gained"), whole.select("mark", "value").distinct())
@@ -226,6 +226,11 @@ def _open_to(settled: DataFrame, values: DataFrame) -> DataFrame:
 _MEMBER = ["mark", "node", "n", "rare", "settled"]
 
 
+def _spread(members: DataFrame) -> DataFrame:
+    """Members dealt evenly before their arrays become rows; comparing them has left each group in one task."""
+    return members.repartition("mark", "node")
+
+
 def _needed(level: Fraction) -> Column:
     """How many values gained or lost a class that isn't similar to the reference shares with a linked one at least."""
     top, whole = level.numerator, level.denominator
@@ -251,12 +256,12 @@ def _lost_pairs(compared: DataFrame, level: Fraction) -> DataFrame:
 
     Together they share at least as many values gained or lost as the larger need of both, so they are listed under
     their rarest of either kind; a pair counts where what both still have behind the shared value is enough
-    for it. A core keeps what most members have, so few have lost more.
+    for it. A core keeps what most members have, so few have lost more, and in many groups none has.
     """
     top, whole = level.numerator, level.denominator
     lost = F.transform("lost", lambda v: F.xxhash64(v, F.lit("lost")))
     g, h = F.size("gained"), F.size("lost")
-    rows = compared.select(
+    rows = _spread(_may_lose(compared, level)).select(
         *_MEMBER,
         g.alias("g"),
         h.alias("h"),
@@ -265,7 +270,8 @@ def _lost_pairs(compared: DataFrame, level: Fraction) -> DataFrame:
         (g + h).alias("all"),
         F.explode(F.concat("gained", lost)).alias("value"),
     )
-    listed = _rarest(rows.where("h > g OR NOT settled"))
+    # Read twice.
+    listed = _rarest(store(rows, "near-lost-values"))
     x, y = listed.where("h > g").alias("x"), listed.where("NOT settled").alias("y")
     both = lambda c: F.col(f"x.{c}") + F.col(f"y.{c}")
     need = top * (F.col("x.r") + both("g")) - whole * (F.col("x.r") - both("h"))
@@ -275,6 +281,34 @@ def _lost_pairs(compared: DataFrame, level: Fraction) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
+def _may_lose(compared: DataFrame, level: Fraction) -> DataFrame:
+    """Members that can be either side of a pair of ``_lost_pairs``, by the sizes of their group's members on the other side.
+
+    What a class shares with one that has gained g values is at most what it kept of the reference and g of its own gain. So much
+    has to be the threshold's part of its size.
+    """
+    top, whole = level.numerator, level.denominator
+    g, h = F.size("gained"), F.size("lost")
+    sides = compared.where("size(lost) > size(gained) OR NOT settled")
+    losing, open_ = h > g, ~F.col("settled")
+    bounds = sides.groupBy("mark").agg(
+        F.min(F.when(losing, F.col("n"))).alias("least_losing"),
+        F.max(F.when(losing, F.col("n"))).alias("most_losing"),
+        F.max(F.when(losing, g)).alias("losing_gain"),
+        F.min(F.when(open_, F.col("n"))).alias("least_open"),
+        F.max(F.when(open_, F.col("n"))).alias("most_open"),
+        F.max(F.when(open_, g)).alias("open_gain"),
+    )
+
+    def meets(least: str, most: str, gain: str) -> Column:
+        near = (F.col(least) * top <= F.col("n") * whole) & (F.col("n") * top <= F.col(most) * whole)
+        return near & (whole * (F.col("reference_n") - h + F.least(g, F.col(gain))) >= top * F.col("n"))
+
+    either = (losing & meets("least_open", "most_open", "open_gain")) | (open_ & meets("least_losing", "most_losing", "losing_gain"))
+    # A group without one side has null bounds.
+    return sides.join(bounds, "mark").where(either).select(*compared.columns)
+
+
 def find_links(texts: DataFrame, classes: DataFrame, level: Fraction = LINKS_FROM) -> DataFrame:
     """Links (a, b) that hold together what is linked: each pair of linked classes is in one component of the result.
 
